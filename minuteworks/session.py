@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,25 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, once.
+
+    The driver serves it to the executors, whatever their PYTHONPATH or folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_minuteworks_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="minuteworks-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "minuteworks.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for at, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._minuteworks_shipped = True
