@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import mixing, packing, splitting, vectors
+from minuteworks.llm import language, mixing, packing, splitting, vectors
 from minuteworks.session import table
 
 
@@ -52,6 +52,28 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.detect(documents, language.train_on(documents))
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document."""
+    return _languages(spark, sf_dir).select(F.col("id").alias("doc_id"), "label_lang", "lang", "confidence", "kind")
+
+
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every passage of mixed documents."""
+    mixed = _languages(spark, sf_dir).where(F.col("kind") == "mixed")
+    return mixed.select(F.col("id").alias("doc_id"), F.posexplode("passages").alias("passage", "x")).select("doc_id", "passage", "x.*")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir).where(F.col("kind").isin("mixed", "missing", "wrong"))
+    langs = F.when(F.col("kind") == "mixed", F.col("langs")).otherwise(F.array("lang"))
+    return found.select(F.col("id").alias("doc_id"), "kind", F.explode(langs).alias("true_lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this package by name."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
