@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import language, mixing, packing, splitting, vectors
+from minuteworks.llm import language, mixing, neardup, packing, splitting, vectors
 from minuteworks.session import table
 
 
+#: Problem 1 by field: table, words a run, threshold, least length, and bands to match.
+NEAR = {
+    "title_curated": ("document_agenda_items", {"k": 1, "threshold": (78, 100), "min_chars": 60, "rows": 7, "bands": 40, "stride": 4}),
+    "text_full": ("segments", {"k": 3, "threshold": (6, 10), "min_chars": 600, "rows": 5, "bands": 72, "stride": 3}),
+}
+
+
+def _near(spark: SparkSession, sf_dir: str, field: str) -> neardup.NearDuplicates:
+    name, options = NEAR[field]
+    return neardup.near_duplicates(table(spark, sf_dir, name), "id", field, "document_id", **options)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.union_all([_near(spark, sf_dir, f).row_pairs().select(F.lit(f).alias("field"), "id_a", "id_b") for f in NEAR])
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, class and number of links of every agenda item and segment that takes part."""
+    return neardup.union_all([_near(spark, sf_dir, f).groups().select(F.lit(f).alias("field"), "id", "cls", "group_id", "n_links") for f in NEAR])
+
+
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest segments of every usable segment vector."""
     return vectors.knn_join(table(spark, sf_dir, "segments")).select("id", "neighbour", "rank")
@@ -81,17 +102,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can answer on whole tables."""
+    near = """
+            {name} AS (SELECT id, document_id, list_distinct({items}) e FROM {table} WHERE length({field}) >= {least}),
+            {name}_c AS (SELECT DISTINCT list_sort(e) e FROM {name} WHERE len(e) > 0),
+            {name}_k AS (SELECT row_number() OVER () k, e, len(e) n FROM {name}_c),
+            {name}_m AS (SELECT id, document_id, k FROM {name} JOIN {name}_k ON list_sort({name}.e) = {name}_k.e),
+            {name}_i AS (SELECT k, n, unnest(e) x FROM {name}_k),
+            {name}_p AS (SELECT a.k ka, b.k kb FROM {name}_i a JOIN {name}_i b ON a.x = b.x AND a.k <= b.k
+                         GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * {down} >= (a.n + b.n - count(*)) * {up})"""
+    words = "regexp_extract_all(lower({field}), '[\\p{{L}}\\p{{N}}]+')"
+    titles = words.format(field="title_curated")
+    texts = words.format(field="text_full")
+    runs = f"list_transform(range(1, len({texts}) - 1), lambda i: ({texts})[i] || ' ' || ({texts})[i + 1] || ' ' || ({texts})[i + 2])"
+    pairs = """SELECT '{field}' AS field, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b
+               FROM {name}_p JOIN {name}_m a ON a.k = ka JOIN {name}_m b ON b.k = kb
+               WHERE a.document_id <> b.document_id AND (ka <> kb OR a.id < b.id)"""
     return {
+        "p1_found": "WITH "
+        + near.format(name="t", items=titles, table="document_agenda_items", field="title_curated", least=60, up=78, down=100) + ","
+        + near.format(name="s", items=runs, table="segments", field="text_full", least=600, up=6, down=10)
+        + pairs.format(field="title_curated", name="t") + " UNION ALL " + pairs.format(field="text_full", name="s"),
         "p2_found": """
-            WITH v AS (SELECT id, list_transform(embedding, x -> x::DOUBLE) e FROM segments
+            WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) e FROM segments
                        WHERE embedding IS NOT NULL AND len(embedding) = 64
-                         AND len(list_filter(embedding, x -> isnan(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                         AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
                  s AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS rn
                        FROM v a JOIN v b ON a.id <> b.id)
             SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM s WHERE rn <= 5""",
         "p6_found": """
             SELECT id AS segment_id,
-                   CASE WHEN list_max(list_transform(regexp_split_to_array(text_full, '\\n|\\r|[.!?]\\s'), x -> length(x))) > 2400
+                   CASE WHEN list_max(list_transform(regexp_split_to_array(text_full, '\\n|\\r|[.!?]\\s'), lambda x: length(x))) > 2400
                         THEN 'forced' ELSE 'natural' END AS kind
             FROM segments WHERE length(text_full) > 2400""",
     }
