@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import language, mixing, neardup, packing, splitting, vectors
+from minuteworks.llm import language, mixing, neardup, packing, privacy, splitting, vectors
 from minuteworks.session import table
 
 
@@ -50,6 +50,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_kinds(splitting.split_oversized(table(spark, sf_dir, "segments"))).select(F.col("id").alias("segment_id"), "kind")
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All queries and comments with placeholders."""
+    members = table(spark, sf_dir, "members")
+    fields = (("chat_logs", "query"), ("chat_feedback", "comment"))
+    return neardup.union_all([privacy.sanitise(table(spark, sf_dir, name), "id", field, members, name) for name, field in fields])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_texts(spark, sf_dir).select(F.col("source").alias("source_table"), F.col("id").alias("row_id"), F.explode("types").alias("pii_type")).distinct()
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container and position of every document."""
     return packing.pack(table(spark, sf_dir, "documents"))
