@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,3 +81,17 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(here)))
     context.addPyFile(target)
     context._minuteworks_shipped = True
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` bucketed by ``key`` to the shared folder and read it from there.
+
+    Like ``cut``, but later joins and aggregations on ``key`` don't shuffle this
+    side again, and readers load only the columns they use.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    name = f"minuteworks_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
