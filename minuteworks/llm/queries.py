@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import language, mixing, neardup, packing, privacy, splitting, vectors
+from minuteworks.llm import language, mixing, names, neardup, packing, privacy, splitting, vectors
 from minuteworks.session import table
 
 
 #: Problem 1 by field: table, words a run, threshold, least length, and bands to match.
 NEAR = {
-    "title_curated": ("document_agenda_items", {"k": 1, "threshold": (78, 100), "min_chars": 60, "rows": 7, "bands": 40, "stride": 4}),
-    "text_full": ("segments", {"k": 3, "threshold": (6, 10), "min_chars": 600, "rows": 5, "bands": 72, "stride": 3}),
+    "title_curated": ("document_agenda_items", {"k": 1, "threshold": (78, 100), "min_chars": 60, "rows": 5, "bands": 28, "stride": 4}),
+    "text_full": ("segments", {"k": 3, "threshold": (6, 10), "min_chars": 600, "rows": 4, "bands": 56, "stride": 3}),
 }
 
 
@@ -41,6 +41,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member or faction of every attendance row that means one, exact spellings as well."""
+    return names.link_attendance(*(table(spark, sf_dir, t) for t in ("document_attendance_rows", "raw_documents", "members", "factions")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_links(spark, sf_dir).where("not exact").select("row_id", "field", "entity_key")
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all segment texts."""
     return splitting.split_oversized(table(spark, sf_dir, "segments")).drop("stretch")
