@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import language, mixing, names, neardup, packing, privacy, splitting, vectors
+from minuteworks.llm import defects, language, mixing, names, neardup, packing, privacy, splitting, vectors
 from minuteworks.session import table
 
 
@@ -50,6 +50,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_links(spark, sf_dir).where("not exact").select("row_id", "field", "entity_key")
 
 
+def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defects of every log, with posteriors."""
+    tagger = language.train_on(table(spark, sf_dir, "documents"))
+    return defects.flag(table(spark, sf_dir, "chat_logs"), tagger).withColumnRenamed("id", "chat_log_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_defects(spark, sf_dir).where("first_defect is not null").select("chat_log_id", F.col("first_defect").alias("defect"))
+
+
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all segment texts."""
     return splitting.split_oversized(table(spark, sf_dir, "segments")).drop("stretch")
