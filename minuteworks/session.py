@@ -83,9 +83,11 @@ def ship(spark: SparkSession) -> None:
     context._minuteworks_shipped = True
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, distinct: bool = False) -> DataFrame:
     """Write ``df`` bucketed by ``key`` to the shared folder and read it from there.
 
+    With ``distinct`` one row a key is kept, after the one shuffle that this takes.
+
     Like ``cut``, but later joins and aggregations on ``key`` don't shuffle this
     side again, and readers load only the columns they use.
     """
@@ -93,5 +95,7 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     shared_dir(spark)
     name = f"minuteworks_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    placed = df.repartition(buckets, key)
+    placed = placed.dropDuplicates([key]) if distinct else placed
+    placed.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
