@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from minuteworks.session import cut
+from minuteworks.session import bucketed, cut
 
 WORD = re.compile(r"[^\W_]+")
 BASE, RATE, LAST = 1.001, 20.0, (1 << 16) - 2
@@ -88,7 +88,7 @@ def estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, n_a: np.ndarr
 
 
 class NearDuplicates:
-    """``members``: id, doc, cls (texts of equal sets share a class); ``pairs``: cls_a < cls_b, common, total."""
+    """``members``: id, doc, cls (texts of the same words share a class); ``pairs``: cls_a < cls_b, common, total."""
 
     def __init__(self, members: DataFrame, pairs: DataFrame):
         self.members, self.pairs = members, pairs
@@ -145,55 +145,69 @@ def near_duplicates(
     k: int = 5,
     threshold: tuple[int, int] = (4, 5),
     min_chars: int = 1,
-    rows: int = 8,
-    bands: int = 48,
+    rows: int = 6,
+    bands: int = 36,
     stride: int = 4,
     sigma: float = 5.0,
+    low_sigma: float = 3.5,
 ) -> NearDuplicates:
     """Texts of at least ``min_chars`` characters whose word runs have Jaccard similarity ``threshold`` or more.
 
     Words are lower-cased runs of letters and digits, a set holds the distinct runs of
     ``k`` of them; ``threshold`` is a fraction (numerator, denominator). Null texts and
     texts of fewer than ``k`` words take no part; an empty table gives empty results;
-    other columns are ignored. Texts of equal sets (copies above all) are one class:
+    other columns are ignored. Texts of the same words in the same order are one class:
     only classes are compared, whatever the number of copies. Runs are compared by
-    32-bit hashes within a pair, classes by 64-bit hashes of the set.
+    32-bit hashes within a pair, texts by 64-bit hashes of their words.
 
     Band i is made of ``rows`` registers from ``i * stride`` on. A pair of similarity s
-    is missed with a chance of about (1 - s^rows)^bands. Pairs go on whose likelihood
-    at the threshold is within ``sigma`` standard deviations of the greatest.
+    is missed with a chance of about (1 - s^rows)^bands. A band travels with the
+    lowest bits of up to 128 registers, which already rule out most chance matches
+    (those more than ``low_sigma`` deviations below the threshold);
+    pairs go on whose likelihood at the threshold is within ``sigma`` standard
+    deviations of the greatest. Sketches and sets are written once, bucketed by
+    class, and are not shuffled again.
     """
     registers = stride * (bands - 1) + rows
+    checked = min(128, registers)
     up, down = threshold
     t = up / down
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
+            # Copies within a batch are signed once.
+            p = p.drop_duplicates("cls")
             for at in range(0, len(p), 2000):
                 b = p.iloc[at : at + 2000]
                 elements, owner = shingles(b["text"].tolist(), k)
                 if not len(owner):
                     continue
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                regs = sketch(elements, starts, registers)
-                # Sorted 64-bit hashes name the class; 32 bits are enough to compare two sets.
                 ends = np.r_[starts[1:], len(owner)]
-                cls = [int.from_bytes(hashlib.blake2b(elements[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) for i, j in zip(starts, ends, strict=True)]
+                regs = sketch(elements, starts, registers)
+                low = np.zeros((len(regs), 16), np.uint8)
+                packed = np.packbits((regs[:, :checked] & 1).astype(bool), axis=1)
+                low[:, : packed.shape[1]] = packed
+                low = low.view(np.int64)
+                # 32 bits are enough to compare two sets.
                 short = (elements >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                own = b.iloc[owner[starts]]
-                yield pd.DataFrame({"id": own["id"].to_numpy(), "doc": own["doc"].to_numpy(), "cls": cls, "n": (ends - starts).astype(np.int32), "regs": list(regs), "els": [np.unique(short[i:j]) for i, j in zip(starts, ends, strict=True)]})
-
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= min_chars)
-    # Rows of a class meet in one partition: the first is its class's entry, all are members.
-    signed = source.mapInPandas(sign, "id long, doc long, cls long, n int, regs array<short>, els array<int>")
-    signed = cut(signed)
-    members = signed.select("id", "doc", "cls")
-    classes = signed.dropDuplicates(["cls"])
+                yield pd.DataFrame({"cls": b["cls"].to_numpy()[owner[starts]], "n": (ends - starts).astype(np.int32), "low_0": low[:, 0], "low_1": low[:, 1], "regs": list(regs), "els": [np.unique(short[i:j]) for i, j in zip(starts, ends, strict=True)]})
+
+    words = F.array_join(F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    source = df.where(F.length(text_col) >= min_chars).select(F.col(id_col).cast("long").alias("id"), F.col(doc_col).cast("long").alias("doc"), F.xxhash64(words).alias("cls"), F.col(text_col).alias("text"))
+    members = source.select("id", "doc", "cls")
+    signed = source.select("cls", "text").mapInPandas(sign, "cls long, n int, low_0 long, low_1 long, regs array<short>, els array<int>")
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.count() // 50_000)
+    classes = bucketed(signed, "cls", buckets, distinct=True)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * stride + 1, rows)))
-    banded = classes.select("cls", "n", F.explode(hashes).alias("band"))
-    a, b = (banded.select("band", F.col("cls").alias(f"cls_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    banded = classes.select("cls", "n", "low_0", "low_1", F.explode(hashes).alias("band"))
+    a, b = (banded.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "low_0", "low_1")]) for x in "ab")
     apart = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up)
-    proposed = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & apart).select("cls_a", "cls_b", "n_a", "n_b").distinct()
+    # Equal registers have equal low bits, others half of the time.
+    equal = (1 + t) / 2
+    most = checked - math.floor(equal * checked - low_sigma * math.sqrt(checked * equal * (1 - equal)))
+    differ = F.bit_count(F.col("low_0_a").bitwiseXOR(F.col("low_0_b"))) + F.bit_count(F.col("low_1_a").bitwiseXOR(F.col("low_1_b")))
+    proposed = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & apart & (differ <= most)).select("cls_a", "cls_b", "n_a", "n_b").distinct()
 
     @F.pandas_udf("boolean")
     def likely(regs_a: pd.Series, regs_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -209,11 +223,13 @@ def near_duplicates(
         loss = log_likelihood(best, more, less, same, u, v) - log_likelihood(at, more, less, same, u, v)
         return pd.Series((best >= t) | (loss <= sigma**2 / 2))
 
-    left = classes.select(F.col("cls").alias("cls_a"), F.col("regs").alias("regs_a"), F.col("els").alias("els_a"))
-    right = classes.select(F.col("cls").alias("cls_b"), F.col("regs").alias("regs_b"), F.col("els").alias("els_b"))
-    joined = proposed.join(left, "cls_a").join(right, "cls_b").where(likely("regs_a", "regs_b", "n_a", "n_b"))
+    def side(x: str, column: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(f"cls_{x}"), F.col(column).alias(f"{column}_{x}"))
+
+    # Sketches first; the sets travel only with the pairs that are left.
+    left = proposed.join(side("a", "regs"), "cls_a").join(side("b", "regs"), "cls_b").where(likely("regs_a", "regs_b", "n_a", "n_b")).select("cls_a", "cls_b")
     common: Column = F.size(F.array_intersect("els_a", "els_b"))
-    counted = joined.select("cls_a", "cls_b", common.alias("common"), (F.size("els_a") + F.size("els_b") - common).alias("total"))
+    counted = left.join(side("a", "els"), "cls_a").join(side("b", "els"), "cls_b").select("cls_a", "cls_b", common.alias("common"), (F.size("els_a") + F.size("els_b") - common).alias("total"))
     return NearDuplicates(members, counted.where(F.col("common") * down >= F.col("total") * up))
 
 
