@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minuteworks.llm import defects, language, mixing, names, neardup, packing, privacy, splitting, vectors
+from minuteworks.llm import defects, language, mixing, names, neardup, packing, privacy, scans, splitting, vectors
 from minuteworks.session import table
 
 
@@ -41,6 +41,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def _clean(spark: SparkSession, sf_dir: str) -> scans.Noise:
+    return scans.clean(table(spark, sf_dir, "segments"), table(spark, sf_dir, "raw_documents"))
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment text as running paragraphs."""
+    return _clean(spark, sf_dir).texts
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir).found
+
+
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Member or faction of every attendance row that means one, exact spellings as well."""
     return names.link_attendance(*(table(spark, sf_dir, t) for t in ("document_attendance_rows", "raw_documents", "members", "factions")))
