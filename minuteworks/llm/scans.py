@@ -30,11 +30,13 @@ LAYOUT = "¬­‐"
 JOINERS = frozenset("und oder sowie bzw beziehungsweise als noch u et bis wie and or ou en of ve".split())
 #: Characters and groups that scans take for others of similar shape (fixed values).
 SHAPES = (("€", "e"), ("@", "a"), ("+", "t"), ("!", "i"), ("|", "l"), ("$", "s"), ("§", "s"), ("0", "o"), ("1", "l"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"))
-GROUPS = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("lc", "k"), ("li", "h"), ("nn", "m"), ("ij", "y"), ("fi", "h"), ("tt", "u"))
+GROUPS = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("lc", "k"), ("cl", "d"), ("li", "h"))
 ODD = re.compile(r"[^\W\d_][€@+!|$§015986347][^\W\d_]|[€@+|$015983](?=[^\W\d_]{3})|[^\W\d_]{3}[€@+|$01598](?![\w.,])|[^\W\d_]¨|¨[^\W\d_]|[^\W\d_]!(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_](?:[\w€@+|$§¨]|!(?=[^\W\d_]))*(?:-[^\W\d_](?:[\w€@+|$§¨]|!(?=[^\W\d_]))*)*|[€@+|$](?:[\w€@+|$¨]|!(?=[^\W\d_])){2,}")
 #: Words that stand between names in headers; any other small word makes a sentence (fixed values).
-SMALL = frozenset("der die das des vom am im von über für und zu zur sitzung öffentlich nichtöffentlich offentlich niederschrift protokoll seite of the on for de la le du van het".split())
+SMALL = frozenset("der die das vom am von über für öffentlich nichtöffentlich of the on for de la le du van het".split())
+#: Words of headings (fixed values).
+TITLES = frozenset("niederschrift protokoll sitzung tagesordnung stadt gemeinde kreis ausschuss rat minutes meeting council".split())
 
 
 def shape(word: str) -> str:
@@ -43,7 +45,8 @@ def shape(word: str) -> str:
     text = "".join(c for c in text if not unicodedata.combining(c))
     for a, b in SHAPES:
         text = text.replace(a, b)
-    for a, b in GROUPS:
+    # One reading of "cli" is "ch", another "di": all three are one.
+    for a, b in (("cli", "q"), ("ch", "q"), ("di", "q"), *GROUPS):
         text = text.replace(a, b)
     return text.replace("i", "l")
 
@@ -64,8 +67,17 @@ def suspicious(word: str) -> bool:
     return bool(ODD.search(word)) or any(g in word.lower() for g, _ in GROUPS)
 
 
-def header_key(line: str, body: str) -> str | None:
-    """Fuzzy key of a line that may be a heading of pages: body's name and digits masked; None for sentences."""
+def name_pattern(names: list[str]) -> re.Pattern | None:
+    """Pattern that finds any of the names, by shape, in the shape of a line."""
+    flat = sorted({" ".join(shape(w) for w in WORD.findall(n)) for n in names if n} - {""}, key=len, reverse=True)
+    return re.compile("(?<!\\S)(?:" + "|".join(map(re.escape, flat)) + ")(?!\\S)") if flat else None
+
+
+_SMALL_SHAPES, _TITLE_SHAPES = frozenset(shape(w) for w in SMALL), frozenset(shape(w) for w in TITLES)
+
+
+def header_key(line: str, names: re.Pattern | None) -> str | None:
+    """Fuzzy key of a line that may be a heading of pages: names and digits masked; None for sentences."""
     text = PAGE_BESIDE.sub("", line).strip()
     if text[:1].islower() or re.search(r"\w{3,}[.!?]\s", text):
         return None
@@ -75,18 +87,17 @@ def header_key(line: str, body: str) -> str | None:
     flat = [shape(w) for w in words if not re.fullmatch(r"[\d./]+", w)]
     if len(flat) < 2 or re.match(r"(?:Ja|Nein|Enthaltung\w*|Abstimmung)\b", text):
         return None
-    name = [shape(w) for w in WORD.findall(body)]
-    small = {shape(w) for w in SMALL}
-    own = set(name)
+    masked = names.sub("#", " ".join(flat)) if names else " ".join(flat)
+    inside = set(" ".join(flat).split()) - set(masked.split())
     for w, f in zip((w for w in words if not re.fullmatch(r"[\d./]+", w)), flat, strict=True):
-        if w[:1].islower() and f not in small and f not in own:
+        if w[:1].islower() and f not in _SMALL_SHAPES and f not in inside:
             return None
-    if any(c.isdigit() for c in text) or own and own <= set(flat) or text.isupper() or "," in text or "|" in text or " - " in text or " – " in text or "   " in text:
-        return " ".join("#" if f in own else f for f in flat)
+    if "#" in masked or text.isupper() or "|" in text or "   " in text or _TITLE_SHAPES & set(flat):
+        return masked
     return None
 
 
-def lines_of(text: str, body: str) -> list[tuple[int, int, str, str | None]]:
+def lines_of(text: str, names: re.Pattern | None) -> list[tuple[int, int, str, str | None]]:
     """(start, end, kind, key) of every line: text, blank, page or header."""
     out, at = [], 0
     for line in text.split("\n"):
@@ -97,7 +108,7 @@ def lines_of(text: str, body: str) -> list[tuple[int, int, str, str | None]]:
         elif PAGE.fullmatch(stripped) and any(c.isdigit() for c in stripped):
             kind = "page"
         else:
-            key = header_key(stripped, body)
+            key = header_key(stripped, names)
             kind = "header" if key else "text"
         out.append((at, at + len(line), kind, key))
         at += len(line) + 1
@@ -131,23 +142,25 @@ class Noise:
         self.found, self.texts = found, texts
 
 
-def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_col: str = "text_full", frequent: int = 20_000, min_docs: int = 2, dominance: int = 5) -> Noise:
+def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_col: str = "text_full", frequent: int = 20_000, max_names: int = 10_000, min_docs: int = 2, dominance: int = 5) -> Noise:
     """Find and repair the noise of scanned pages.
 
     ``found`` has one row per id and kind of NOISES. ``texts`` has every text that isn't
     null as paragraphs of one line each, without page numbers and headers, cut words
     joined, misread words replaced by the corpus's spelling. Empty texts stay empty and
-    have no noise; ids may repeat (their findings are merged); a document that is
-    missing only weakens the search for its headers; other columns are ignored.
+    have no noise; ids may repeat (their findings are merged); other columns are
+    ignored. ``documents`` gives the names of bodies, at most ``max_names``.
 
     Words are counted over all texts (batches send sums), and the ``frequent`` most
     frequent are given to all workers: a bounded list that spares most words the join.
     A header's key must come from ``min_docs`` documents, or twice from one. A word is
     misread if another of equal shape is ``dominance`` times as frequent.
     """
-    names = documents.select(F.col("id").alias("document_id"), F.coalesce("gremium_name", F.lit("")).alias("body")).dropDuplicates(["document_id"])
-    source = segments.select(F.col(id_col).cast("long").alias("id"), "document_id", F.col(text_col).alias("text")).where("text is not null").join(names, "document_id", "left")
-    source = source.select("id", "document_id", "text", F.coalesce("body", F.lit("")).alias("body"))
+    listed = documents.select("gremium_name").where("gremium_name is not null").distinct().limit(max_names + 1).collect()
+    if len(listed) > max_names:
+        raise ValueError(f"more than {max_names} names of bodies")
+    names = name_pattern([r["gremium_name"] for r in listed])
+    source = segments.select(F.col(id_col).cast("long").alias("id"), "document_id", F.col(text_col).alias("text")).where("text is not null")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -170,15 +183,15 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for key, doc, text, body in zip(p["id"], p["document_id"], p["text"], p["body"], strict=True):
-                lines = lines_of(text, body)
+            for key, doc, text in zip(p["id"], p["document_id"], p["text"], strict=True):
+                lines = lines_of(text, names)
                 keys = [x[3] for x in lines if x[3]]
                 odd = {w for w in WORD.findall(text) if len(w) > 2 and w not in known and suspicious(w)}
                 cuts = [(left, right, sure, sure or (left + right).lower() in lower) for _, _, left, right, sure in cut_words(text, lines)]
-                rows.append((key, doc, text, body, keys, sorted(odd), any(x[2] == "page" for x in lines), sorted({x[3] for x in lines if x[3] and PAGE_BESIDE.search(text[x[0] : x[1]])}), any(c[3] for c in cuts), sorted({(a + b).lower() for a, b, _, ok in cuts if not ok})))
-            yield pd.DataFrame(rows, columns=["id", "document_id", "text", "body", "keys", "odd", "page", "beside", "cut", "joined"])
+                rows.append((key, doc, text, keys, sorted(odd), any(x[2] == "page" for x in lines), sorted({x[3] for x in lines if x[3] and PAGE_BESIDE.search(text[x[0] : x[1]])}), any(c[3] for c in cuts), sorted({(a + b).lower() for a, b, _, ok in cuts if not ok})))
+            yield pd.DataFrame(rows, columns=["id", "document_id", "text", "keys", "odd", "page", "beside", "cut", "joined"])
 
-    scanned = cut(source.mapInPandas(scan, "id long, document_id long, text string, body string, keys array<string>, odd array<string>, page boolean, beside array<string>, cut boolean, joined array<string>").withColumn("row", F.monotonically_increasing_id()))
+    scanned = cut(source.mapInPandas(scan, "id long, document_id long, text string, keys array<string>, odd array<string>, page boolean, beside array<string>, cut boolean, joined array<string>").withColumn("row", F.monotonically_increasing_id()))
     lines = scanned.select("row", "document_id", F.explode("keys").alias("key"))
     headers = lines.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("document_id").alias("docs")).where((F.col("docs") >= min_docs) | (F.col("n") >= 2)).select("key")
     at_header = lines.join(headers, "key").groupBy("row").agg(F.collect_set("key").alias("headers"))
@@ -212,17 +225,17 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
     def repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             texts = []
-            for text, body, heads, fixes, also, joined in zip(p["text"], p["body"], p["headers"], p["fixes"], p["also"], p["joined"], strict=True):
-                texts.append(flow(text, body, set(heads) if heads is not None else set(), dict(fixes) if fixes is not None else {}, lower | (set(joined) if also is True and joined is not None else set())))
+            for text, heads, fixes, also, joined in zip(p["text"], p["headers"], p["fixes"], p["also"], p["joined"], strict=True):
+                texts.append(flow(text, names, set(heads) if heads is not None else set(), dict(fixes) if fixes is not None else {}, lower | (set(joined) if also is True and joined is not None else set())))
             yield pd.DataFrame({"id": p["id"], "text": texts})
 
-    texts = told.select("id", "text", "body", "headers", "fixes", "also", "joined").mapInPandas(repair, "id long, text string")
+    texts = told.select("id", "text", "headers", "fixes", "also", "joined").mapInPandas(repair, "id long, text string")
     return Noise(found, texts)
 
 
-def flow(text: str, body: str, headers: set[str], fixes: dict[str, str], spelled: set[str]) -> str:
+def flow(text: str, names: re.Pattern | None, headers: set[str], fixes: dict[str, str], spelled: set[str]) -> str:
     """Running paragraphs of a text without its noise."""
-    lines = [(a, b, "text" if kind == "header" and key not in headers else kind, key) for a, b, kind, key in lines_of(text, body)]
+    lines = [(a, b, "text" if kind == "header" and key not in headers else kind, key) for a, b, kind, key in lines_of(text, names)]
     joins = {}
     for a, b, left, right, sure in cut_words(text, lines):
         if sure or (left + right).lower() in spelled:
