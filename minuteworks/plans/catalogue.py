@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from minuteworks.plans import queries_tables, queries_text
+
+MODULES = (queries_text, queries_tables)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """All queries by name."""
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The SQL of those queries that SQL can answer."""
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
