@@ -184,7 +184,8 @@ def query_signals(c: Column) -> Column:
 def linear_recency(date: Column, as_of: str, days: int = 365) -> Column:
     """FN41: 1 for today and later, falling to 0 after ``days``; 0 without a date."""
     age = F.datediff(F.lit(as_of).cast("date"), date)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / F.lit(float(days)))), F.lit(0.0))
+    # least and greatest pass over nulls, so the date is looked at first.
+    return F.when(date.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / F.lit(float(days)))))
 
 
 def content_terms(c: Column, most: int = 3) -> Column:

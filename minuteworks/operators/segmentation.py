@@ -42,7 +42,7 @@ def key_pattern(key: str) -> str:
 
 def heading_pattern(key: str) -> re.Pattern:
     """FN11: the key at a line's start, ``- 10 -`` or TOP before it, no further number behind it."""
-    return re.compile(rf"(?mi)^[ \t]*(?:-\s*\d+\s*-\s*)?(?:TOP\s*)?(?:{key_pattern(key)})(?!\d)(?!\s*\.\s*\d)\.?(?=[\s:.)-])")
+    return re.compile(rf"(?mi)^[ \t]*(?:-\s*\d+\s*-\s*)?(?:TOP\s*)?(?:{key_pattern(key)})(?!\d)(?!\.\d)(?!\s+\.\s*\d)\.?(?=[\s:.)-])")
 
 
 def anywhere_pattern(key: str) -> re.Pattern:

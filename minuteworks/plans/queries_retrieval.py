@@ -120,7 +120,7 @@ _BACK = (
 _DOCS = "docs AS (SELECT id AS did, gremium_key, meeting_date FROM raw_documents{where})"
 _RRF = "parts AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS p FROM dense_r UNION ALL SELECT id, 1.0::DOUBLE / (40 + rank) FROM sparse_r UNION ALL SELECT id, 1.0::DOUBLE / (45 + rank) FROM tri_r{more}), fused AS (SELECT id, sum(p) AS rrf FROM parts GROUP BY 1)"
 _FINAL = """hits AS (SELECT f.id, s.document_id, s.top_key, d.gremium_key, d.meeting_date, f.rrf, {back} AS bf, f.rrf + 0.08 + {key} + {named}
-        + coalesce(greatest(0.0, least(1.0, 1 - date_diff('day', d.meeting_date, DATE '2026-01-01') / 365.0::DOUBLE)), 0.0) * {recency} AS fin
+        + CASE WHEN d.meeting_date IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - date_diff('day', d.meeting_date, DATE '2026-01-01') / 365.0::DOUBLE)) END * {recency} AS fin
       FROM fused f JOIN segments s USING (id) JOIN docs d ON d.did = s.document_id),
     one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, top_key ORDER BY fin DESC, id) AS n FROM hits WHERE top_key IS NOT NULL) WHERE n = 1),
     capped AS (SELECT id, document_id, top_key, gremium_key, meeting_date, rrf, bf, fin FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY fin DESC, id) AS m FROM one) WHERE m <= 3

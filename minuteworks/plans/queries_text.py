@@ -165,7 +165,7 @@ SQL = {
     "fn37_query_flags": "SELECT " + ", ".join(f"regexp_matches(lower(query), '{p}') AS {k}" for k, p in T.QUERY_KINDS.items()) + f", regexp_matches(lower(query), '{T.RECENCY}') AS recency, count(*) AS n FROM chat_logs GROUP BY 1, 2, 3, 4",
     "fn38_query_signals": """WITH d AS (SELECT id, query, regexp_extract(query, '\\b(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})\\b', 1) dd, regexp_extract(query, '\\b(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})\\b', 2) mm, regexp_extract(query, '\\b(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})\\b', 3) yy FROM chat_logs)
         SELECT id, CASE WHEN yy <> '' THEN yy || '-' || lpad(mm, 2, '0') || '-' || lpad(dd, 2, '0') END AS iso_date, nullif(regexp_extract(query, '\\b(\\d{4}/\\d{4}(?:/\\d{1,2})?)\\b', 1), '') AS paper FROM d""",
-    "fn41_recency": "SELECT id, round(coalesce(greatest(0.0, least(1.0, 1 - date_diff('day', meeting_date, DATE '2026-01-01') / 365.0::DOUBLE)), 0.0), 6) AS recency FROM raw_documents",
+    "fn41_recency": "SELECT id, round(CASE WHEN meeting_date IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - date_diff('day', meeting_date, DATE '2026-01-01') / 365.0::DOUBLE)) END, 6) AS recency FROM raw_documents",
     "fn43_cosine_topk": "WITH t AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, t ORDER BY score DESC, vec_id LIMIT 10",
     "fn44_lexeme_rank": "WITH l AS (SELECT doc_id, " + SQL_LEX.format(c="text") + """ AS a FROM documents WHERE text IS NOT NULL),
         n AS (SELECT doc_id, len(list_filter(a, lambda w: w = 'sanier')) x, len(list_filter(a, lambda w: w = 'turnhall')) y FROM l)
