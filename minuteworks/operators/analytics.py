@@ -76,7 +76,8 @@ def _spread(scores: DataFrame) -> DataFrame:
 def sus_scores(responses: DataFrame, prefix: str = "sus_") -> DataFrame:
     """Usability score of each participant with exactly ten answers."""
     rows = responses.where(F.col("question_key").startswith(prefix) & F.col("answer_numeric").isNotNull()).withColumn("item", F.substring("question_key", len(prefix) + 1, 3).cast("int"))
-    rows = rows.dropDuplicates(["session_token", "item"])
+    # Of several answers to one item the highest counts.
+    rows = rows.groupBy("session_token", "item").agg(F.max("answer_numeric").alias("answer_numeric"))
     part = F.when(F.col("item") % 2 == 1, F.col("answer_numeric") - 1).otherwise(5 - F.col("answer_numeric"))
     return rows.groupBy("session_token").agg((F.sum(part) * 2.5).alias("score"), F.count("*").alias("answers")).where("answers = 10").select("session_token", "score")
 

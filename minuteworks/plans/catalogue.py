@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minuteworks.plans import queries_python, queries_retrieval, queries_tables, queries_text
+from minuteworks.plans import queries_more, queries_python, queries_retrieval, queries_tables, queries_text
 
-MODULES = (queries_text, queries_tables, queries_retrieval, queries_python)
+MODULES = (queries_text, queries_tables, queries_retrieval, queries_more, queries_python)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
