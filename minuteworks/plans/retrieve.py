@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minuteworks.functions import similarity as S, text as T
+from minuteworks.session import cut
 
 #: Columns of a hit.
 HIT = ("source", "source_ord", "id", "document_id", "top_key", "start_page", "meeting_date", "gremium_key", "score")
@@ -122,6 +123,10 @@ def sparse(items: DataFrame, agenda: DataFrame, docs: DataFrame, lexemes: Sequen
     titles = agenda.where("top_key_curated is not null").groupBy("document_id", F.col("top_key_curated").alias("top_key")).agg(F.min_by("title_curated", F.struct("row_index", "id")).alias("title"))
     query = F.array(*[F.lit(x) for x in lexemes])
     found = items.join(docs, "document_id").join(titles, ["document_id", "top_key"], "left")
+    # A lexeme is part of its word: most rows are ruled out before their words are taken apart.
+    low = F.lower(F.concat_ws(" ", "title", "text"))
+    for lexeme in lexemes:
+        found = found.where(F.contains(low, F.lit(lexeme)))
     found = found.withColumn("title_lex", S.lexemes(F.coalesce("title", F.lit("")))).withColumn("body_lex", S.lexemes(F.coalesce("text", F.lit(""))))
     everywhere = F.size(F.array_except(query, F.array_union("title_lex", "body_lex"))) == 0
     scored = _hits(found.where(everywhere).withColumn("score", S.lexeme_rank(F.col("title_lex"), F.col("body_lex"), query)))
@@ -132,8 +137,9 @@ def sparse(items: DataFrame, agenda: DataFrame, docs: DataFrame, lexemes: Sequen
 def trigram(items: DataFrame, docs: DataFrame, terms: Sequence[str], n: int, threshold: float = 0.3) -> DataFrame:
     """CP4, FN45: items alike or containing a term; the best score over at most five terms (AG14)."""
     scores = []
+    items = items.withColumn("grams", S.trigrams(F.col("text")))
     for term in terms[:5]:
-        sim = S.trigram_similarity(F.col("text"), F.lit(term))
+        sim = S.shared_share(F.col("grams"), term)
         scores.append(F.when((sim >= threshold) | F.lower("text").contains(term.lower()), sim))
     if not scores:
         return _ranked(_hits(items.join(docs, "document_id").withColumn("score", F.lit(0.0))).limit(0), F.col("id"))
@@ -238,6 +244,7 @@ def ambiguity(found: DataFrame, names: DataFrame) -> DataFrame:
 
 def enrich(hits: DataFrame, agenda: DataFrame, attendance: DataFrame) -> DataFrame:
     """JN5, AG18: agenda and attendance of the hits' documents, as ordered lists."""
+    hits = cut(hits)  # a handful of rows, read three times
     ids = F.broadcast(hits.select("document_id").distinct())
     tops = agenda.join(ids, "document_id", "left_semi").groupBy("document_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_index", "id", "top_key_curated", "title_curated", "drucksache_curated"))), lambda x: F.struct(x["top_key_curated"].alias("key"), x["title_curated"].alias("title"), x["drucksache_curated"].alias("paper"))).alias("agenda_full"))
