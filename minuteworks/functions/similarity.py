@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
@@ -79,29 +80,42 @@ def lexeme_rank(title: Column, body: Column, query: Column, title_weight: float
 
 
 def best_window(short: str, long: str) -> float:
-    """Best share of common letters (in order) of a text and a window of its length in another, in percent."""
+    """Best share of common letters (in order) of a text and a window of its length in another, in percent.
+
+    The common subsequences of all windows are counted side by side, a row of bits a
+    window, one step a letter of the shorter text.
+    """
     if len(short) > len(long):
         short, long = long, short
     if not short:
         return 0.0
-    n, best = len(short), 0.0
-    where: dict[str, int] = {}
+    if short in long:
+        return 100.0
+    n, size = len(short), (len(short) + 63) // 64
+    place = {c: i for i, c in enumerate(dict.fromkeys(short), 1)}
+    masks = np.zeros((len(place) + 1, size), np.uint64)
     for i, c in enumerate(short):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << n) - 1
-    for start in range(-n + 1, len(long)):
-        window = long[max(0, start) : start + n]
-        # Length of the longest common subsequence, a row of bits at a time.
-        row = full
-        for c in window:
-            hits = where.get(c, 0)
-            u = row & hits
-            row = ((row + u) | (row - u)) & full
-        common = n - row.bit_count()
-        best = max(best, 200.0 * common / (n + len(window)))
-        if best == 100.0:
-            break
-    return best
+        masks[place[c], i // 64] |= np.uint64(1) << np.uint64(i % 64)
+    # Windows reach over both ends; what lies beyond matches nothing.
+    codes = np.zeros(len(long) + 2 * (n - 1), np.int64)
+    codes[n - 1 : n - 1 + len(long)] = [place.get(c, 0) for c in long]
+    windows = len(long) + n - 1
+    rows = np.full((size, windows), ~np.uint64(0))
+    for k in range(n):
+        hits = masks[codes[k : k + windows]].T
+        carry = np.zeros(windows, np.uint64)
+        for w in range(size):
+            u = rows[w] & hits[w]
+            total = rows[w] + u
+            over = total < u
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            rows[w] = total | (rows[w] & ~hits[w])
+    rows[-1] |= ~(~np.uint64(0) >> np.uint64(64 * size - n))
+    common = np.bitwise_count(~rows).sum(0, dtype=np.int64)
+    start = np.arange(windows) - (n - 1)
+    lengths = np.minimum(start + n, len(long)) - np.maximum(start, 0)
+    return float((200.0 * common / (n + lengths)).max())
 
 
 @F.pandas_udf(DoubleType())

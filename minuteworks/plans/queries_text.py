@@ -90,13 +90,15 @@ def fn43_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def fn44_lexeme_rank(spark: SparkSession, sf: str) -> DataFrame:
     query = F.array(*[F.lit(w) for w in ("sanier", "turnhall")])
-    docs = table(spark, sf, "documents").where("text is not null")
-    return docs.select("doc_id", F.round(S.lexeme_rank(F.array().cast("array<string>"), S.lexemes(F.col("text")), query), 6).alias("rank")).where("rank > 0")
+    docs = table(spark, sf, "documents").where(F.lower("text").contains("sanier") | F.lower("text").contains("turnhall"))
+    rank = F.transform(F.array(S.lexemes(F.col("text"))), lambda lex: F.round(S.lexeme_rank(F.array().cast("array<string>"), lex, query), 6))
+    return docs.select("doc_id", F.explode(F.filter(rank, lambda x: x > 0)).alias("rank"))
 
 
 def fn45_trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
     titles = table(spark, sf, "document_agenda_items").where("title_curated is not null")
-    return titles.select("id", F.round(S.trigram_similarity(F.col("title_curated"), F.lit(TERM)), 6).alias("score")).where("score >= 0.15")
+    score = F.transform(F.array(S.trigrams(F.col("title_curated"))), lambda g: F.round(S.shared_share(g, TERM), 6))
+    return titles.select("id", F.explode(F.filter(score, lambda x: x >= 0.15)).alias("score"))
 
 
 def fn46_content_terms(spark: SparkSession, sf: str) -> DataFrame:

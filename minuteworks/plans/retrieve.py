@@ -136,15 +136,19 @@ def sparse(items: DataFrame, agenda: DataFrame, docs: DataFrame, lexemes: Sequen
 
 def trigram(items: DataFrame, docs: DataFrame, terms: Sequence[str], n: int, threshold: float = 0.3) -> DataFrame:
     """CP4, FN45: items alike or containing a term; the best score over at most five terms (AG14)."""
-    scores = []
-    items = items.withColumn("grams", S.trigrams(F.col("text")))
-    for term in terms[:5]:
-        sim = S.shared_share(F.col("grams"), term)
-        scores.append(F.when((sim >= threshold) | F.lower("text").contains(term.lower()), sim))
-    if not scores:
+    if not terms:
         return _ranked(_hits(items.join(docs, "document_id").withColumn("score", F.lit(0.0))).limit(0), F.col("id"))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    found = _hits(items.withColumn("score", best).where("score is not null").join(docs, "document_id"))
+
+    def best(grams: Column) -> Column:
+        scores = []
+        for term in terms[:5]:
+            share = S.shared_share(grams, term)
+            scores.append(F.when((share >= threshold) | F.lower("text").contains(term.lower()), share))
+        return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+    # The trigrams of a text are a variable of the lambda, and the score is exploded: each is computed once.
+    score = F.filter(F.transform(F.array(S.trigrams(F.col("text"))), best), lambda x: x.isNotNull())
+    found = _hits(items.withColumn("score", F.explode(score)).join(docs, "document_id"))
     return _ranked(found.orderBy(F.desc("score"), "source_ord", "id").limit(n), F.desc("score"), F.col("source_ord"), F.col("id"))
 
 
@@ -254,7 +258,7 @@ def enrich(hits: DataFrame, agenda: DataFrame, attendance: DataFrame) -> DataFra
 
 
 def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame | None = None, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False) -> DataFrame:
-    """CP10: the whole search as one lazy plan; at most ``top_k`` rows, best first.
+    """CP10: the whole search: channels and fusion as one plan, then caps; at most ``top_k`` rows, best first.
 
     Channels that the question has no terms for are left out. Backfill is added for
     questions about the present.
@@ -273,7 +277,8 @@ def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: Da
     if current and query.terms and not multi_doc:
         hits = add_list(hits, backfill(items, docs, query.terms), RRF["backfill"])
     found = structured(attendance, docs, person=query.terms[0]) if attendance is not None and query.terms else None
-    hits = boost(hits, query, top_key, iso_date, current, multi_doc, found)
+    # The fused hits (some hundreds) are read several times by preference and caps.
+    hits = cut(boost(hits, query, top_key, iso_date, current, multi_doc, found))
     hits = cap_documents(prefer_segments(hits), query.profile.cap)
     return hits.orderBy(F.desc("final_score"), "source", "id").limit(query.top_k).select("source", "id", "document_id", "top_key", "gremium_key", "meeting_date", F.round("rrf_score", 9).alias("rrf_score"), F.round("final_score", 9).alias("final_score"), "is_backfill")
 
