@@ -67,37 +67,47 @@ def suspicious(word: str) -> bool:
     return bool(ODD.search(word)) or any(g in word.lower() for g, _ in GROUPS)
 
 
-def name_pattern(names: list[str]) -> re.Pattern | None:
-    """Pattern that finds any of the names, by shape, in the shape of a line."""
-    flat = sorted({" ".join(shape(w) for w in WORD.findall(n)) for n in names if n} - {""}, key=len, reverse=True)
-    return re.compile("(?<!\\S)(?:" + "|".join(map(re.escape, flat)) + ")(?!\\S)") if flat else None
+class Names:
+    """Names of bodies, found by shape in the shape of a line."""
+
+    def __init__(self, names: list[str]):
+        flat = sorted({" ".join(shape(w) for w in WORD.findall(n)) for n in names if n} - {""}, key=len, reverse=True)
+        self.words = frozenset(w for n in flat for w in n.split())
+        self.pattern = re.compile("(?<!\\S)(?:" + "|".join(map(re.escape, flat)) + ")(?!\\S)") if flat else None
+
+    def mask(self, text: str) -> str:
+        """The text with ``#`` for every name."""
+        return self.pattern.sub("#", text) if self.pattern else text
 
 
 _SMALL_SHAPES, _TITLE_SHAPES = frozenset(shape(w) for w in SMALL), frozenset(shape(w) for w in TITLES)
 
 
-def header_key(line: str, names: re.Pattern | None) -> str | None:
+def header_key(line: str, names: Names) -> str | None:
     """Fuzzy key of a line that may be a heading of pages: names and digits masked; None for sentences."""
-    text = PAGE_BESIDE.sub("", line).strip()
-    if text[:1].islower() or re.search(r"\w{3,}[.!?]\s", text):
+    text = line.strip()
+    if "  " in text:
+        text = PAGE_BESIDE.sub("", text).strip()
+    if not 6 <= len(text) <= 110 or text[0].islower() or text[-1] in ".!?;:," or re.search(r"\w{3,}[.!?]\s", text):
         return None
-    if not 6 <= len(text) <= 110 or re.search(r"[.!?;:,]$", text) or PAGE.fullmatch(text):
+    words = [w for w in WORD.findall(text) if not re.fullmatch(r"[\d./]+", w)]
+    for w in words:
+        # Sentences show at their first small word.
+        if w[0].islower() and (f := shape(w)) not in _SMALL_SHAPES and f not in names.words:
+            return None
+    if len(words) < 2 or PAGE.fullmatch(text) or re.match(r"(?:Ja|Nein|Enthaltung\w*|Abstimmung)\b", text):
         return None
-    words = WORD.findall(text)
-    flat = [shape(w) for w in words if not re.fullmatch(r"[\d./]+", w)]
-    if len(flat) < 2 or re.match(r"(?:Ja|Nein|Enthaltung\w*|Abstimmung)\b", text):
+    flat = [shape(w) for w in words]
+    masked = names.mask(" ".join(flat))
+    inside = set(flat) - set(masked.split())
+    if any(w[0].islower() and f not in _SMALL_SHAPES and f not in inside for w, f in zip(words, flat, strict=True)):
         return None
-    masked = names.sub("#", " ".join(flat)) if names else " ".join(flat)
-    inside = set(" ".join(flat).split()) - set(masked.split())
-    for w, f in zip((w for w in words if not re.fullmatch(r"[\d./]+", w)), flat, strict=True):
-        if w[:1].islower() and f not in _SMALL_SHAPES and f not in inside:
-            return None
     if "#" in masked or text.isupper() or "|" in text or "   " in text or _TITLE_SHAPES & set(flat):
         return masked
     return None
 
 
-def lines_of(text: str, names: re.Pattern | None) -> list[tuple[int, int, str, str | None]]:
+def lines_of(text: str, names: Names) -> list[tuple[int, int, str, str | None]]:
     """(start, end, kind, key) of every line: text, blank, page or header."""
     out, at = [], 0
     for line in text.split("\n"):
@@ -105,7 +115,7 @@ def lines_of(text: str, names: re.Pattern | None) -> list[tuple[int, int, str, s
         key = None
         if not stripped:
             kind = "blank"
-        elif PAGE.fullmatch(stripped) and any(c.isdigit() for c in stripped):
+        elif len(stripped) <= 24 and PAGE.fullmatch(stripped) and any(c.isdigit() for c in stripped):
             kind = "page"
         else:
             key = header_key(stripped, names)
@@ -122,13 +132,15 @@ def cut_words(text: str, lines: list[tuple[int, int, str, str | None]]) -> list[
     following = {a[0]: b for a, b in zip(body, body[1:], strict=False)}
     for a, b, _, _ in body:
         line = text[a:b].rstrip()
-        if m := re.search(rf"([^\W\d_]+)([{HYPHENS}])$", line):
+        if line[-1:] in HYPHENS and (m := re.search(rf"([^\W\d_]+)([{HYPHENS}])$", line[-80:])):
             nxt = following.get(a)
             n = re.match(r"\s*([^\W\d_]+)", text[nxt[0] : nxt[1]]) if nxt else None
             if n and n[1][:1].islower() and n[1].lower() not in JOINERS:
-                out.append((a + m.start(), nxt[0] + n.end(), m[1], n[1], True))
+                out.append((a + len(line) - len(line[-80:]) + m.start(), nxt[0] + n.end(), m[1], n[1], True))
             elif n and m[2] in LAYOUT and n[1].lower() not in JOINERS:
-                out.append((a + m.start(), nxt[0] + n.end(), m[1], n[1], n[1][:1].islower()))
+                out.append((a + len(line) - len(line[-80:]) + m.start(), nxt[0] + n.end(), m[1], n[1], n[1][:1].islower()))
+        if "- " not in line and not any(c in line for c in LAYOUT):
+            continue
         for m in re.finditer(rf"([^\W\d_]+)(?:([{LAYOUT}])[ \t]*|- +)([^\W\d_]+)", line):
             if m[3].lower() not in JOINERS and m[3][:1].islower():
                 out.append((a + m.start(), a + m.end(), m[1], m[3], bool(m[2])))
@@ -159,7 +171,7 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
     listed = documents.select("gremium_name").where("gremium_name is not null").distinct().limit(max_names + 1).collect()
     if len(listed) > max_names:
         raise ValueError(f"more than {max_names} names of bodies")
-    names = name_pattern([r["gremium_name"] for r in listed])
+    names = Names([r["gremium_name"] for r in listed])
     source = segments.select(F.col(id_col).cast("long").alias("id"), "document_id", F.col(text_col).alias("text")).where("text is not null")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +245,7 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
     return Noise(found, texts)
 
 
-def flow(text: str, names: re.Pattern | None, headers: set[str], fixes: dict[str, str], spelled: set[str]) -> str:
+def flow(text: str, names: Names, headers: set[str], fixes: dict[str, str], spelled: set[str]) -> str:
     """Running paragraphs of a text without its noise."""
     lines = [(a, b, "text" if kind == "header" and key not in headers else kind, key) for a, b, kind, key in lines_of(text, names)]
     joins = {}
