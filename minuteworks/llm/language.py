@@ -61,22 +61,21 @@ class Tagger:
 
     weights: np.ndarray
     transitions: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    cache: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "transitions": self.transitions, "cache": {}}
+        return {"weights": self.weights, "transitions": self.transitions, "cache": {}, "table": None}
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores, one row a word."""
-        if len(self.cache) > 400_000:  # the cache is bounded; a word dropped here is scored again
-            self.cache.clear()
-        cache, out = self.cache, []
-        for w in words:
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.weights[features(w)].sum(0)
-            out.append(s)
-        return np.array(out, dtype=np.float32).reshape(-1, self.weights.shape[1])
+        if self.table is None or len(self.cache) > 400_000:  # the cache is bounded; a word dropped here is scored again
+            self.cache, self.table = {}, np.empty((0, self.weights.shape[1]), np.float32)
+        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        if new:
+            self.cache.update((w, i) for i, w in enumerate(new, len(self.cache)))
+            self.table = np.concatenate([self.table, np.array([self.weights[features(w)].sum(0) for w in new], np.float32)])
+        return self.table[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Posterior of every word's language, by forward-backward over each sequence."""
@@ -85,7 +84,7 @@ class Tagger:
         for at in range(0, len(order), 256):
             part = order[at : at + 256]
             lengths = np.array([len(scores[i]) for i in part])
-            padded = np.zeros((len(part), lengths.max(), self.weights.shape[1]))
+            padded = np.zeros((len(part), lengths.max(), self.weights.shape[1]), np.float32)
             for row, i in enumerate(part):
                 padded[row, : lengths[row]] = scores[i]
             for row, m in enumerate(forward_backward(padded, lengths, self.transitions)[0]):
@@ -93,11 +92,11 @@ class Tagger:
         return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (sequence, place, label) and expected transitions of padded sequences."""
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (sequence, place, label) of padded sequences, with ``pairs`` also the expected transitions."""
     n, steps, k = scores.shape
     e = np.exp(scores - scores.max(2, keepdims=True))
-    t = np.exp(transitions)
+    t = np.exp(transitions).astype(scores.dtype)
     alpha, beta = np.empty_like(e), np.ones_like(e)
     alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
     for i in range(1, steps):
@@ -110,7 +109,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     m = alpha * beta
     m /= m.sum(2, keepdims=True)
     expected = np.zeros((k, k))
-    for i in range(1, steps):
+    for i in range(1, steps if pairs else 0):
         pair = alpha[:, i - 1, :, None] * t * (e[:, i] * beta[:, i])[:, None, :]
         pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)
         expected += pair[i < lengths].sum(0)
@@ -172,7 +171,7 @@ def _fit(data: list[tuple[int, list[str]]], k: int, epochs: int, seed: int) -> T
             for r, (s, g) in enumerate(zip(seqs, gold, strict=True)):
                 places[r, : len(s)], truth[r, : len(s)], mask[r, : len(s)] = np.searchsorted(ids, s), g, True
             scores[mask] = emission[places[mask]]
-            m, expected = forward_backward(scores, lengths, transitions)
+            m, expected = forward_backward(scores, lengths, transitions, pairs=True)
             grad = -m[mask]
             grad[np.arange(len(grad)), truth[mask]] += 1
             by_type = np.zeros((len(ids), k))
@@ -210,7 +209,7 @@ def analyse(tagger: Tagger, texts: list[str], languages: tuple[str, ...], min_wo
         edges.append((at, len(text)))
         own, counts = [], []
         for a, b in edges:
-            found = [w.lower() for w in WORD.findall(text[a:b])]
+            found = WORD.findall(text[a:b].lower())
             own += found
             counts.append(len(found))
         spans.append(edges)
@@ -221,29 +220,33 @@ def analyse(tagger: Tagger, texts: list[str], languages: tuple[str, ...], min_wo
     marginals = tagger.marginals([flat[e - len(w) : e] for e, w in zip(ends, words, strict=True)])
     out = []
     for edges, own, counts, m in zip(spans, words, cuts, marginals, strict=True):
-        letters = sum(len(w) for w in own)
+        size = np.fromiter(map(len, own), np.float64, len(own))
+        letters = int(size.sum())
         if not own:
             out.append((0, None, 0.0, {}, []))
             continue
-        size = np.array([len(w) for w in own], dtype=float)
-        at, sentences, passages = 0, {}, []
-        mean = (m * size[:, None]).sum(0) / size.sum()
+        weighted = m * size[:, None]
+        mean = weighted.sum(0) / letters
+        full = [i for i, n in enumerate(counts) if n]
+        starts = np.cumsum([0, *(counts[i] for i in full[:-1])])
+        weight = np.add.reduceat(size, starts)
+        share = np.add.reduceat(weighted, starts) / weight[:, None]
+        at, sentences, passages = -1, {}, []
+        bests, sures = share.argmax(1).tolist(), share.max(1).tolist()
         for (a, b), n in zip(edges, counts, strict=True):
-            if n:
-                p = (m[at : at + n] * size[at : at + n, None]).sum(0) / size[at : at + n].sum()
-                best = int(p.argmax())
-                if n >= min_words and p[best] >= sure:
-                    sentences[languages[best]] = sentences.get(languages[best], 0) + 1
-            else:
-                p, best = None, None
-            at += n
-            weight = int(sum(size[at - n : at]))
-            if passages and (best is None or passages[-1][2] == languages[best]):
+            if not n:
+                if passages:
+                    passages[-1] = (passages[-1][0], b, *passages[-1][2:])
+                continue
+            at += 1
+            lang, p, w = languages[bests[at]], sures[at], float(weight[at])
+            if n >= min_words and p >= sure:
+                sentences[lang] = sentences.get(lang, 0) + 1
+            if passages and passages[-1][2] == lang:
                 last = passages[-1]
-                total = last[4] + weight
-                passages[-1] = (last[0], b, last[2], (last[3] * last[4] + (float(p[best]) * weight if best is not None else 0)) / total if total else last[3], total)
-            elif best is not None:
-                passages.append((a if passages else 0, b, languages[best], float(p[best]), weight))
+                passages[-1] = (last[0], b, lang, (last[3] * last[4] + p * w) / (last[4] + w), last[4] + w)
+            else:
+                passages.append((a if passages else 0, b, lang, p, w))
         lang = int(mean.argmax())
         out.append((letters, languages[lang], float(mean[lang]), sentences, passages))
     return out
