@@ -1,7 +1,7 @@
 """Problem 3: noise in text from scanned pages, and its repair into running paragraphs.
 
 Headers are lines that come back, fuzzily, across documents and look like no
-sentence; page numbers are lines of their own; words cut at line ends and misread
+sentence, and the same headings inside run-on text; page numbers are lines of their own; words cut at line ends and misread
 words are told by the corpus vocabulary.
 """
 
@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -107,8 +108,101 @@ def header_key(line: str, names: Names) -> str | None:
     return None
 
 
-def lines_of(text: str, names: Names) -> list[tuple[int, int, str, str | None]]:
-    """(start, end, kind, key) of every line: text, blank, page or header."""
+_shape = lru_cache(1 << 16)(shape)
+_DIGITS = re.compile(r"[\dlIO./]*\d[\dlIO./]*")
+#: A page number with its word or dashes, before or after a heading in running text.
+PAGE_BEFORE = re.compile(rf"(?:(?<!\w)(?:S\.|Seite:?|Blatt:?|Bl\.|Page:?|p\.)\s*{_NUMBER}(?:\s*(?:/|von|of|\|)\s*[\dlIO]{{1,4}})?|(?<!\S)[-–—]\s*{_NUMBER}\s*[-–—])\s*$", re.I)
+PAGE_AFTER = re.compile(rf"\s*(?:(?:S\.|Seite:?|Blatt:?|Bl\.|Page:?|p\.)\s*{_NUMBER}(?:\s*(?:/|von|of|\|)\s*[\dlIO]{{1,4}})?(?!\w)|[-–—]\s*{_NUMBER}\s*[-–—](?!\S))", re.I)
+
+
+def units_of(text: str, names: Names) -> list[tuple[int, int, str]]:
+    """(start, end, symbol) of words by shape, with 0 for a number and ``#`` for a name."""
+    words = [(m.start(), m.end(), "0" if _DIGITS.fullmatch(m.group()) else _shape(m.group())) for m in WORD.finditer(text)]
+    if not names.pattern:
+        return words
+    out, at, k = [], 0, 0
+    spans = [m.span() for m in names.pattern.finditer(" ".join(w[2] for w in words))]
+    for a, b, w in words:
+        if k < len(spans) and at > spans[k][1]:
+            k += 1
+        if k < len(spans) and spans[k][0] <= at < spans[k][1]:
+            if at == spans[k][0]:
+                out.append((a, b, "#"))
+            else:
+                out[-1] = (out[-1][0], b, "#")
+        else:
+            out.append((a, b, w))
+        at += len(w) + 1
+    return out
+
+
+def _between(text: str) -> str:
+    """Signs between words, without blanks, every dash as one."""
+    return re.sub(r"[–—]", "-", re.sub(r"\s+", "", text))
+
+
+def form_of(line: str, names: Names) -> str | None:
+    """What a heading looks like inside a text: symbols and the signs between them; None if it has no word of its own."""
+    text = line.strip()
+    if "  " in text:
+        text = PAGE_BESIDE.sub("", text).strip()
+    units = units_of(text, names)
+    if len(units) < 2 or all(u in "#0" for *_, u in units):
+        return None
+    parts = [units[0][2]]
+    for (_, end, _), (start, _, u) in zip(units, units[1:], strict=False):
+        parts += [_between(text[end:start]), u]
+    return "\t".join([*parts, _between(text[units[-1][1] :]), "A" if text.isupper() else "a"])
+
+
+class Inline:
+    """Headings known from lines of their own, found inside other lines."""
+
+    def __init__(self, forms: list[tuple[str, str]]):
+        self.forms: dict[str, list[tuple[list[str], list[str], str, bool, str]]] = {}
+        for key, form in forms:
+            *parts, tail, case = form.split("\t")
+            symbols = parts[::2]
+            longest = max((u for u in symbols if u not in "#0"), key=len)
+            self.forms.setdefault(longest, []).append((symbols, parts[1::2], tail, case == "A", key))
+
+    def find(self, line: str, names: Names) -> list[tuple[int, int, str, bool]]:
+        """(start, end, key, whether a page number is beside) of headings."""
+        seen = {_shape(w) for w in WORD.findall(line)} & self.forms.keys()
+        if not seen:
+            return []
+        units = units_of(line, names)
+        first: dict[str, list[tuple[list[str], list[str], str, bool, str]]] = {}
+        for word in seen:
+            for form in self.forms[word]:
+                first.setdefault(form[0][0], []).append(form)
+        out, at = [], 0
+        while at < len(units):
+            step = 1
+            for symbols, signs, tail, upper, key in sorted(first.get(units[at][2], ()), key=lambda f: -len(f[0])):
+                got = units[at : at + len(symbols)]
+                if [u for *_, u in got] != symbols or any(_between(line[x[1] : y[0]]) != s for x, y, s in zip(got, got[1:], signs, strict=False)):
+                    continue
+                start, end = got[0][0], got[-1][1]
+                if line[start:end].isupper() != upper:
+                    continue
+                m = re.match(r"\s*[-–—|,]+", line[end:]) if tail else None
+                if m and _between(m.group()) == tail:
+                    end += m.end()
+                before, after = PAGE_BEFORE.search(line[max(0, start - 40) : start]), PAGE_AFTER.match(line, end)
+                if before:
+                    start = max(0, start - 40) + before.start()
+                if after:
+                    end = after.end()
+                out.append((start, end, key, bool(before or after)))
+                step = len(symbols)
+                break
+            at += step
+        return out
+
+
+def lines_of(text: str, names: Names, inline: Inline | None = None) -> list[tuple[int, int, str, str | None]]:
+    """(start, end, kind, key) of every line: text, blank, page or header; with ``inline``, lines of text are parted at headings inside."""
     out, at = [], 0
     for line in text.split("\n"):
         stripped = line.strip()
@@ -120,6 +214,18 @@ def lines_of(text: str, names: Names) -> list[tuple[int, int, str, str | None]]:
         else:
             key = header_key(stripped, names)
             kind = "header" if key else "text"
+        if kind == "text" and inline:
+            a = 0
+            spans = inline.find(line, names)
+            for start, end, found, _ in spans:
+                if line[a:start].strip():
+                    out.append((at + a, at + start, "text", None))
+                out.append((at + start, at + end, "header", found))
+                a = end
+            if not spans or line[a:].strip():
+                out.append((at + a, at + len(line), "text", None))
+            at += len(line) + 1
+            continue
         out.append((at, at + len(line), kind, key))
         at += len(line) + 1
     return out
@@ -154,7 +260,7 @@ class Noise:
         self.found, self.texts = found, texts
 
 
-def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_col: str = "text_full", frequent: int = 20_000, max_names: int = 10_000, min_docs: int = 2, dominance: int = 5) -> Noise:
+def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_col: str = "text_full", frequent: int = 20_000, max_names: int = 10_000, max_forms: int = 10_000, min_docs: int = 2, dominance: int = 5) -> Noise:
     """Find and repair the noise of scanned pages.
 
     ``found`` has one row per id and kind of NOISES. ``texts`` has every text that isn't
@@ -165,8 +271,9 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
 
     Words are counted over all texts (batches send sums), and the ``frequent`` most
     frequent are given to all workers: a bounded list that spares most words the join.
-    A header's key must come from ``min_docs`` documents, or twice from one. A word is
-    misread if another of equal shape is ``dominance`` times as frequent.
+    A header's key must come from ``min_docs`` documents, or twice from one. The
+    ``max_forms`` most frequent forms of such headers are also sought inside lines, where
+    text ran together over them; words cut there are joined. A word is misread if another of equal shape is ``dominance`` times as frequent.
     """
     listed = documents.select("gremium_name").where("gremium_name is not null").distinct().limit(max_names + 1).collect()
     if len(listed) > max_names:
@@ -198,14 +305,37 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
             for key, doc, text in zip(p["id"], p["document_id"], p["text"], strict=True):
                 lines = lines_of(text, names)
                 keys = [x[3] for x in lines if x[3]]
+                forms = sorted({(x[3], f) for x in lines if x[3] and (f := form_of(text[x[0] : x[1]], names))})
                 odd = {w for w in WORD.findall(text) if len(w) > 2 and w not in known and suspicious(w)}
                 cuts = [(left, right, sure, sure or (left + right).lower() in lower) for _, _, left, right, sure in cut_words(text, lines)]
-                rows.append((key, doc, text, keys, sorted(odd), any(x[2] == "page" for x in lines), sorted({x[3] for x in lines if x[3] and PAGE_BESIDE.search(text[x[0] : x[1]])}), any(c[3] for c in cuts), sorted({(a + b).lower() for a, b, _, ok in cuts if not ok})))
-            yield pd.DataFrame(rows, columns=["id", "document_id", "text", "keys", "odd", "page", "beside", "cut", "joined"])
+                rows.append((key, doc, text, keys, forms, sorted(odd), any(x[2] == "page" for x in lines), sorted({x[3] for x in lines if x[3] and PAGE_BESIDE.search(text[x[0] : x[1]])}), any(c[3] for c in cuts), sorted({(a + b).lower() for a, b, _, ok in cuts if not ok})))
+            yield pd.DataFrame(rows, columns=["id", "document_id", "text", "keys", "forms", "odd", "page", "beside", "cut", "joined"])
 
-    scanned = cut(source.mapInPandas(scan, "id long, document_id long, text string, keys array<string>, odd array<string>, page boolean, beside array<string>, cut boolean, joined array<string>").withColumn("row", F.monotonically_increasing_id()))
+    scanned = cut(source.mapInPandas(scan, "id long, document_id long, text string, keys array<string>, forms array<struct<key:string,form:string>>, odd array<string>, page boolean, beside array<string>, cut boolean, joined array<string>").withColumn("row", F.monotonically_increasing_id()))
     lines = scanned.select("row", "document_id", F.explode("keys").alias("key"))
     headers = lines.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("document_id").alias("docs")).where((F.col("docs") >= min_docs) | (F.col("n") >= 2)).select("key")
+    headers = cut(headers)
+    shown = scanned.select(F.explode("forms").alias("f")).groupBy("f.key", "f.form").agg(F.count("*").alias("n")).join(headers, "key")
+    forms = [(r["key"], r["form"]) for r in shown.orderBy(F.desc("n"), "key", "form").limit(max_forms).collect()]
+    inline = Inline(forms) if forms else None
+
+    def within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for row, text in zip(p["row"], p["text"], strict=True):
+                spans = [x for line, kind in ((text[a:b], kind) for a, b, kind, _ in lines_of(text, names)) if kind == "text" for x in inline.find(line, names)]
+                if spans:
+                    cuts = [((left + right).lower(), sure or (left + right).lower() in lower) for _, _, left, right, sure in cut_words(text, lines_of(text, names, inline))]
+                    rows.append((row, sorted({x[2] for x in spans}), any(x[3] for x in spans), any(ok for _, ok in cuts), sorted({w for w, ok in cuts if not ok})))
+            yield pd.DataFrame(rows, columns=["row", "inside", "page_inside", "cut_inside", "joined_inside"])
+
+    if inline:
+        # Few rows have a heading inside; what was told of cut words without it gives way.
+        inner = cut(scanned.select("row", "text").mapInPandas(within, "row long, inside array<string>, page_inside boolean, cut_inside boolean, joined_inside array<string>"))
+        given = scanned.join(inner, "row", "left")
+    else:
+        given = scanned.withColumns({"inside": F.lit(None).cast("array<string>"), "page_inside": F.lit(False), "cut_inside": F.lit(None).cast("boolean"), "joined_inside": F.lit(None).cast("array<string>")})
+    given = given.withColumns({"cut": F.coalesce("cut_inside", "cut"), "joined": F.coalesce("joined_inside", "joined"), "page": F.col("page") | F.coalesce("page_inside", F.lit(False))}).drop("cut_inside", "joined_inside", "page_inside")
     at_header = lines.join(headers, "key").groupBy("row").agg(F.collect_set("key").alias("headers"))
 
     @F.pandas_udf("string")
@@ -227,27 +357,28 @@ def clean(segments: DataFrame, documents: DataFrame, id_col: str = "id", text_co
     wrong = sure.select("word", "meant").unionByName(strange).groupBy("word").agg(F.max("meant").alias("meant"))
     at_word = words.join(wrong, "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("meant", F.col("word"))))).alias("fixes"))
     spelled = vocabulary.where("n >= 2").select(F.lower("word").alias("whole")).distinct()
-    at_cut = scanned.select("row", F.explode("joined").alias("whole")).join(spelled, "whole").select("row").distinct().withColumn("also", F.lit(True))
-    told = scanned.join(at_header, "row", "left").join(at_word, "row", "left").join(at_cut, "row", "left")
+    at_cut = given.select("row", F.explode("joined").alias("whole")).join(spelled, "whole").select("row").distinct().withColumn("also", F.lit(True))
+    told = given.join(at_header, "row", "left").join(at_word, "row", "left").join(at_cut, "row", "left")
     found = told.select("id", F.explode(F.array_compact(F.array(
         F.when(F.col("cut") | F.coalesce("also", F.lit(False)), "hyphenation"), F.when(F.col("fixes").isNotNull(), "misread"),
-        F.when(F.col("headers").isNotNull(), "running_header"), F.when(F.col("page") | F.coalesce(F.arrays_overlap("beside", "headers"), F.lit(False)), "page_number"),
+        F.when(F.col("headers").isNotNull() | F.col("inside").isNotNull(), "running_header"), F.when(F.col("page") | F.coalesce(F.arrays_overlap("beside", "headers"), F.lit(False)), "page_number"),
     ))).alias("noise")).select(F.col("id").alias("segment_id"), "noise").distinct()
 
     def repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             texts = []
-            for text, heads, fixes, also, joined in zip(p["text"], p["headers"], p["fixes"], p["also"], p["joined"], strict=True):
-                texts.append(flow(text, names, set(heads) if heads is not None else set(), dict(fixes) if fixes is not None else {}, lower | (set(joined) if also is True and joined is not None else set())))
+            for text, heads, inside, fixes, also, joined in zip(p["text"], p["headers"], p["inside"], p["fixes"], p["also"], p["joined"], strict=True):
+                keys = {*(heads if heads is not None else ()), *(inside if inside is not None else ())}
+                texts.append(flow(text, names, keys, dict(fixes) if fixes is not None else {}, lower | (set(joined) if also is True and joined is not None else set()), inline if inside is not None else None))
             yield pd.DataFrame({"id": p["id"], "text": texts})
 
-    texts = told.select("id", "text", "headers", "fixes", "also", "joined").mapInPandas(repair, "id long, text string")
+    texts = told.select("id", "text", "headers", "inside", "fixes", "also", "joined").mapInPandas(repair, "id long, text string")
     return Noise(found, texts)
 
 
-def flow(text: str, names: Names, headers: set[str], fixes: dict[str, str], spelled: set[str]) -> str:
+def flow(text: str, names: Names, headers: set[str], fixes: dict[str, str], spelled: set[str], inline: Inline | None = None) -> str:
     """Running paragraphs of a text without its noise."""
-    lines = [(a, b, "text" if kind == "header" and key not in headers else kind, key) for a, b, kind, key in lines_of(text, names)]
+    lines = [(a, b, "text" if kind == "header" and key not in headers else kind, key) for a, b, kind, key in lines_of(text, names, inline)]
     joins = {}
     for a, b, left, right, sure in cut_words(text, lines):
         if sure or (left + right).lower() in spelled:

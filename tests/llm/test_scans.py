@@ -40,3 +40,20 @@ def test_empty_and_repeated(spark):
 def test_very_long_text(spark):
     rows = [(1, 1, (CLEAN + "\n") * 4000 + "Seite 7")]
     assert [r["noise"] for r in noise(spark, rows).found.collect()] == ["page_number"]
+
+
+RUN_ON = [
+    (101, 1, "Die Verwaltung erläutert die Beleuch- Protokoll Finanzausschuss, 05.06.2021 tung der Grünanlage. Der Ausschuss nimmt Kenntnis."),
+    (102, 2, CLEAN + " Seite 3 von 15 Protokoll Finanzausschuss, 05.06.2021 " + CLEAN),
+    (103, 2, CLEAN + " Das Protokoll des Finanzausschusses vom 05.06.2021 liegt vor."),
+]
+
+
+def test_headings_inside_text(spark):
+    result = noise(spark, SEGS + RUN_ON)
+    found = {}
+    for r in result.found.where("segment_id > 100").collect():
+        found.setdefault(r["segment_id"], set()).add(r["noise"])
+    assert found == {101: {"hyphenation", "running_header"}, 102: {"running_header", "page_number"}}
+    texts = {r["id"]: r["text"] for r in result.texts.collect()}
+    assert texts[101] == CLEAN and texts[102] == f"{CLEAN} {CLEAN}" and texts[103] == RUN_ON[2][2]
