@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -168,30 +169,35 @@ def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def sanitise(
-    df: DataFrame,
-    id_col: str,
-    text_col: str,
+def sanitise(df: DataFrame, id_col: str, text_col: str, members: DataFrame, source: str = "", min_bits: float = 3.0, min_share: float = 0.8, max_members: int = 1_000_000) -> DataFrame:
+    """``sanitise_tables`` of one table."""
+    return sanitise_tables([(df, id_col, text_col, source)], members, min_bits, min_share, max_members)
+
+
+def sanitise_tables(
+    tables: list[tuple[DataFrame, str, str, str]],
     members: DataFrame,
-    source: str = "",
     min_bits: float = 3.0,
     min_share: float = 0.8,
     max_members: int = 1_000_000,
 ) -> DataFrame:
     """Find personal information and replace it by typed placeholders.
 
-    Returns ``source, id, spans, types, text``: ``spans`` is an array of (start, end,
-    type) in the given text, ``types`` the distinct types, ``text`` the text with
-    ``[EMAIL]``, ``[PHONE]``, ``[ID]``, ``[ADDRESS]`` and ``[NAME]`` in place of them.
+    ``tables`` are (table, id column, text column, source). Returns ``source, id,
+    spans, types, text``: ``spans`` is an array of (start, end, type) in the given
+    text, ``types`` the distinct types, ``text`` the text with ``[EMAIL]``, ``[PHONE]``,
+    ``[ID]``, ``[ADDRESS]`` and ``[NAME]`` in place of them.
     ``members`` (first_name, last_name) are public: their names stay, as do names a
     typing error away. Null texts give no row, empty texts an empty result; repeated
     rows and ids give a row each; other columns are ignored.
 
-    A term's disclosure is the pointwise information, in bits, that it gives about
-    "a private person is named here", from its rows in the corpus. Terms of at least
-    ``min_bits`` of which at least ``min_share`` of the rows name a person are protected: they are
-    replaced in all rows. Terms are counted over all rows and joined back by key;
-    a row's terms travel only as words that some row names a person with.
+    A term's disclosure is the log-odds, in bits, that an occurrence of it names a
+    private person, against those of all other terms' occurrences, which count as
+    one in eight at most, so that no number of names in the tables switches it off.
+    Terms of at least ``min_bits`` of which at least ``min_share`` of the rows name a
+    person are protected: they are replaced in all rows. Terms are counted over the rows
+    of all tables and joined back by key; a row's terms travel only as words that some
+    row names a person with.
     """
     people = members.select("first_name", "last_name").limit(max_members + 1).collect()
     if len(people) > max_members:
@@ -202,24 +208,25 @@ def sanitise(
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for key, text in zip(p["id"], p["text"], strict=True):
+            for source, key, text in zip(p["source"], p["id"], p["text"], strict=True):
                 spans = direct(text)
                 names = cued_names(text, spans, known, given)
                 inside = {w.lower() for a, b in names for w in WORDS.findall(text[a:b])} - given
                 # Words inside other spans tell nothing by themselves.
                 rest = [m.group().lower() for m in WORDS.finditer(text) if len(m.group()) >= 4 and not any(a <= m.start() < b for a, b, _ in spans)]
-                rows.append((key, text, [*spans, *((a, b, "name") for a, b in names)], sorted(inside), sorted(set(rest))))
-            yield pd.DataFrame(rows, columns=["id", "text", "spans", "named", "terms"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    found = cut(rows.mapInPandas(find, f"id {kind}, text string, spans array<struct<start:int,end:int,type:string>>, named array<string>, terms array<string>").withColumn("row", F.monotonically_increasing_id()))
-    totals = found.agg(F.count("*").alias("n"), F.count_if(F.size("named") > 0).alias("p")).first()
-    base = max(totals["p"], 1) / max(totals["n"], 1)
+                rows.append((source, key, text, [*spans, *((a, b, "name") for a, b in names)], sorted(inside), sorted(set(rest))))
+            yield pd.DataFrame(rows, columns=["source", "id", "text", "spans", "named", "terms"])
+
+    parts = [df.select(F.lit(source).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()) for df, id_col, text_col, source in tables]
+    rows = reduce(DataFrame.unionByName, parts)
+    kind = rows.schema["id"].dataType.simpleString()
+    found = cut(rows.mapInPandas(find, f"source string, id {kind}, text string, spans array<struct<start:int,end:int,type:string>>, named array<string>, terms array<string>").withColumn("row", F.monotonically_increasing_id()))
     occurs = found.select("row", F.explode("terms").alias("term"), F.col("named"))
+    totals = found.select(F.size("terms").alias("n"), F.size(F.array_intersect("terms", "named")).alias("p")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("p"), F.lit(0)).alias("p")).first()
     # Partial sums before the shuffle: as many records as distinct terms of a partition.
     counts = occurs.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.array_contains("named", F.col("term"))).alias("p"))
-    bits = F.log2(F.col("p") / F.col("n") / F.lit(base))
+    others = (F.lit(totals["p"]) - F.col("p") + 0.5) / (F.lit(totals["n"] - totals["p"]) - F.col("n") + F.col("p") + 0.5)
+    bits = F.log2((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5) / F.least(others, F.lit(1 / 8)))
     protected = counts.where((F.col("p") > 0) & (bits >= min_bits) & (F.col("p") >= F.col("n") * min_share)).select("term")
     hidden = occurs.where(~F.array_contains("named", F.col("term"))).select("row", "term").join(protected, "term").groupBy("row").agg(F.collect_set("term").alias("hidden"))
 
@@ -227,7 +234,7 @@ def sanitise(
         placeholder = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
         for p in parts:
             rows = []
-            for key, text, spans, terms in zip(p["id"], p["text"], p["spans"], p["hidden"], strict=True):
+            for source, key, text, spans, terms in zip(p["source"], p["id"], p["text"], p["spans"], p["hidden"], strict=True):
                 at = [(s["start"], s["end"], s["type"]) for s in spans]
                 if terms is not None and len(terms):
                     wanted = set(terms)
@@ -239,5 +246,5 @@ def sanitise(
                 rows.append((source, key, at, sorted({t for *_, t in at}), "".join(out) + text[last:]))
             yield pd.DataFrame(rows, columns=["source", "id", "spans", "types", "text"])
 
-    joined = found.select("row", "id", "text", "spans").join(hidden, "row", "left").select("id", "text", "spans", "hidden")
+    joined = found.select("row", "source", "id", "text", "spans").join(hidden, "row", "left").select("source", "id", "text", "spans", "hidden")
     return joined.mapInPandas(replace, f"source string, id {kind}, spans array<struct<start:int,end:int,type:string>>, types array<string>, text string")

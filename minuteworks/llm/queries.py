@@ -86,7 +86,7 @@ def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All queries and comments with placeholders."""
     members = table(spark, sf_dir, "members")
     fields = (("chat_logs", "query"), ("chat_feedback", "comment"))
-    return neardup.union_all([privacy.sanitise(table(spark, sf_dir, name), "id", field, members, name) for name, field in fields])
+    return privacy.sanitise_tables([(table(spark, sf_dir, name), "id", field, name) for name, field in fields], members)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,14 @@ def test_text_stays_readable(spark):
 def test_empty_and_repeated(spark):
     assert run(spark, []) == {}
     assert len(run(spark, [(1, "Tel. 0171 3920095")] * 3)) == 1
+
+
+def test_names_in_many_rows_and_over_tables(spark):
+    members = spark.createDataFrame([("Rolf", "Brandhoff")], "first_name string, last_name string")
+    for others in (60, 2):
+        logs = [(i, "Ich heiße Torsten Klapprodena und frage.") for i in range(30)] + [(100 + i, "Welche Kosten entstehen?") for i in range(others)] + [(500, "klapprodena war auch da")]
+        df = spark.createDataFrame(logs, "id long, query string")
+        comments = spark.createDataFrame([(500, "Danke, klapprodena!")], "id long, comment string")
+        got = {(r["source"], r["id"]): r["text"] for r in V.sanitise_tables([(df, "id", "query", "q"), (comments, "id", "comment", "c")], members).where("id = 500").collect()}
+        assert got == {("q", 500): "[NAME] war auch da", ("c", 500): "Danke, [NAME]!"}
+        assert V.sanitise(df, "id", "query", members, "q").where("id = 500").first()["types"] == ["name"]
