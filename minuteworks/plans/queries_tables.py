@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from minuteworks.operators import analytics as A, chunking, relational as R, validation as V
+from minuteworks.plans import queries_text as QT
 from minuteworks.session import table
+from minuteworks.sources.packages import merge_pages
 
 
 def flt1_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,6 +39,17 @@ def src3_page_merge(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(two, ["document_id", "page_no"], "full").select("document_id", "page_no", F.coalesce(F.nullif("a", F.lit("")), "b").alias("page_text"))
 
 
+def src3_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page of the segments: their texts, or their titles where no text is."""
+    s = table(spark, sf, "segments").where("start_page is not null")
+
+    def pages(column: str) -> DataFrame:
+        said = F.collect_list(F.when(F.trim(column) != "", F.struct("id", F.col(column).alias("text"))))
+        return s.groupBy(F.col("document_id").cast("string").alias("path"), F.col("start_page").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(said), lambda x: x["text"]), "\n").alias("page_text"))
+
+    return merge_pages(pages("text_full"), pages("title"))
+
+
 def src13_replace_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "raw_documents").select("id", "gremium_key", "file_hash_sha256")
     first = docs.groupBy("gremium_key", "file_hash_sha256").agg(F.min("id").alias("id")).select("id", "gremium_key", "file_hash_sha256")
@@ -239,6 +252,9 @@ SQL = {
     "src3_page_merge": """WITH a AS (SELECT document_id, start_page AS page_no, max(text_full) AS a FROM segments WHERE start_page IS NOT NULL AND id % 2 = 0 GROUP BY 1, 2),
         b AS (SELECT document_id, start_page AS page_no, max(text_full) AS b FROM segments WHERE start_page IS NOT NULL AND id % 3 = 0 GROUP BY 1, 2)
         SELECT document_id, page_no, coalesce(nullif(a, ''), b) AS page_text FROM a FULL JOIN b USING (document_id, page_no)""",
+    "src3_pages": f"""WITH p AS (SELECT document_id::VARCHAR AS path, start_page AS page_no,
+            coalesce(string_agg(text_full, chr(10) ORDER BY id) FILTER (WHERE trim(text_full) <> ''), string_agg(title, chr(10) ORDER BY id) FILTER (WHERE trim(title) <> ''), '') AS text_full
+        FROM segments WHERE start_page IS NOT NULL GROUP BY 1, 2) SELECT path, page_no, {QT._FN1} AS page_text FROM p""",
     "src13_replace_documents": """WITH g AS (SELECT gremium_key, file_hash_sha256, min(id) AS lo, max(id) AS hi, count(*) AS n FROM raw_documents GROUP BY 1, 2),
         k AS (SELECT CASE WHEN n > 1 THEN hi ELSE lo END AS id, n, lo FROM g),
         a AS (SELECT document_id, count(*) AS c FROM document_agenda_items WHERE document_id NOT IN (SELECT lo FROM g WHERE n > 1) AND document_id NOT IN (SELECT hi FROM g WHERE n > 1) GROUP BY 1

@@ -124,3 +124,15 @@ def test_answer_edge(spark):
     cache = spark.createDataFrame([("a", ["x"], "manual", 1), ("b", ["y"], "llm", 1)], "term string, variants array<string>, source string, updated_at int")
     fresh = spark.createDataFrame([("a", ["q"], "llm", 2), ("b", ["z"], "llm", 2)], cache.schema)
     assert {r["term"]: r["variants"] for r in W.update_synonyms(cache, fresh).collect()} == {"a": ["x"], "b": ["z"]}
+
+
+def test_pages_take_every_segment(spark, sf):
+    import duckdb
+
+    from minuteworks.plans import queries_tables as QT
+
+    got = {(r["path"], r["page_no"]): r["page_text"] for r in QT.src3_pages(spark, sf).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW segments AS SELECT * FROM '{sf}/segments.parquet'")
+    assert got == {(a, b): c for a, b, c in db.execute(QT.SQL["src3_pages"]).fetchall()}
+    assert set(got) == set(db.execute("SELECT DISTINCT document_id::VARCHAR, start_page FROM segments WHERE start_page IS NOT NULL").fetchall())
