@@ -86,6 +86,13 @@ def cp10_retrieve_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return P.retrieve(_query(segments, gremium_key="rat", year_from=2010, year_to=2024), sound, documents, agenda, attendance, lexemes=LEXEMES, top_key="3")
 
 
+def cp10_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The filtered search with attendance rows among its hits."""
+    segments, documents, agenda, attendance = _tables(spark, sf)
+    sound = segments.where(F.col("embedding").isNull() | ~F.exists("embedding", lambda x: F.isnan(x)))
+    return P.search(_query(segments, gremium_key="rat", year_from=2010, year_to=2024), sound, documents, agenda, attendance, lexemes=LEXEMES, top_key="3", person="brook", attendance_question=True)
+
+
 def jn5_enriched(spark: SparkSession, sf: str) -> DataFrame:
     segments, documents, agenda, attendance = _tables(spark, sf)
     hits = cp10_retrieve(spark, sf)
@@ -144,4 +151,4 @@ SQL = {
     "cp10_retrieve_filtered": _FILTER + ", " + _RRF.format(more="") + ", " + _FINAL.format(back="false", key="CASE WHEN s.top_key = '3' THEN 0.05 ELSE 0 END", named="CASE WHEN s.document_id IN (SELECT document_id FROM named) THEN 0.08 ELSE 0 END", recency="0.05") + " SELECT * FROM best",
     "jn5_enriched": _RETRIEVE + " SELECT b.id, (SELECT count(*) FROM document_agenda_items a WHERE a.document_id = b.document_id)::INT AS n_agenda, (SELECT count(*) FROM document_attendance_rows a WHERE a.document_id = b.document_id)::INT AS n_attendance FROM best b",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in (*SQL, "cp10_search")}

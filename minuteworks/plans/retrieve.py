@@ -257,13 +257,8 @@ def enrich(hits: DataFrame, agenda: DataFrame, attendance: DataFrame) -> DataFra
     return hits.join(tops, "document_id", "left").join(people, "document_id", "left")
 
 
-def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame | None = None, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False) -> DataFrame:
-    """CP10: the whole search: channels and fusion as one plan, then caps; at most ``top_k`` rows, best first.
-
-    Channels that the question has no terms for are left out. Backfill is added for
-    questions about the present.
-    """
-    docs = filtered_documents(documents, query)
+def channels(query: Query, docs: DataFrame, segments: DataFrame, agenda: DataFrame, chunks: DataFrame | None, lexemes: Sequence[str], current: bool, multi_doc: bool) -> DataFrame:
+    """Fused hits of all channels that the question has terms for."""
     items = segment_items(segments)
     if chunks is not None:
         items = chunk_items(chunks).unionByName(items)
@@ -276,11 +271,62 @@ def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: Da
     hits = fuse(lists).withColumn("is_backfill", F.lit(False))
     if current and query.terms and not multi_doc:
         hits = add_list(hits, backfill(items, docs, query.terms), RRF["backfill"])
+    return hits
+
+
+def best_hits(hits: DataFrame, query: Query) -> DataFrame:
+    """WN4, WN5: preference, caps and the best ``top_k``."""
+    hits = cap_documents(prefer_segments(hits), query.profile.cap)
+    return hits.orderBy(F.desc("final_score"), "source", "id").limit(query.top_k).select("source", "id", "document_id", "top_key", "gremium_key", "meeting_date", F.round("rrf_score", 9).alias("rrf_score"), F.round("final_score", 9).alias("final_score"), "is_backfill")
+
+
+def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame | None = None, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False) -> DataFrame:
+    """CP10 without CP7 to CP9 (see ``search``): channels and fusion as one plan, then caps; at most ``top_k`` rows, best first.
+
+    Channels that the question has no terms for are left out. Backfill is added for
+    questions about the present.
+    """
+    docs = filtered_documents(documents, query)
+    hits = channels(query, docs, segments, agenda, chunks, lexemes, current, multi_doc)
     found = structured(attendance, docs, person=query.terms[0]) if attendance is not None and query.terms else None
     # The fused hits (some hundreds) are read several times by preference and caps.
     hits = cut(boost(hits, query, top_key, iso_date, current, multi_doc, found))
-    hits = cap_documents(prefer_segments(hits), query.profile.cap)
-    return hits.orderBy(F.desc("final_score"), "source", "id").limit(query.top_k).select("source", "id", "document_id", "top_key", "gremium_key", "meeting_date", F.round("rrf_score", 9).alias("rrf_score"), F.round("final_score", 9).alias("final_score"), "is_backfill")
+    return best_hits(hits, query)
+
+
+def merge_structured(hits: DataFrame, found: DataFrame, attendance_question: bool) -> DataFrame:
+    """CP7: attendance rows beside fused hits: in front at 1.0 for attendance questions; else at 0.10, and 0.08 for hits of their documents."""
+    rows = found.select(F.lit("attendance").alias("source"), "id", "document_id", "gremium_key", "meeting_date", F.lit(1.0 if attendance_question else 0.10).alias("rrf_score"), F.lit(False).alias("is_backfill"))
+    if not attendance_question:
+        marked = F.broadcast(found.select("document_id").distinct().withColumn("named", F.lit(True)))
+        hits = hits.join(marked, "document_id", "left").withColumn("rrf_score", F.col("rrf_score") + F.when(F.col("named"), 0.08).otherwise(0.0)).drop("named")
+    return hits.unionByName(rows, allowMissingColumns=True)
+
+
+def search(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False, factions: Sequence[str] = (), person: str | None = None, attendance_question: bool = False) -> DataFrame:
+    """CP7 to CP10: ``retrieve`` with attendance rows among the hits.
+
+    For an attendance question, rows of several bodies give a single row instead of hits,
+    whose ``clarify`` lists the bodies; else hits of the first attendance row's body stay.
+    Attendance rows have no key and are free of caps. Without person and factions
+    there are no attendance rows.
+    """
+    docs = filtered_documents(documents, query)
+    hits = channels(query, docs, segments, agenda, chunks, lexemes, current, multi_doc)
+    if person or factions:
+        # At most 20 rows.
+        found = cut(structured(attendance, docs, factions, person))
+        if attendance_question:
+            bodies = docs.where("gremium_key is not null").groupBy("gremium_key").agg(F.coalesce(F.max("gremium_name"), F.lit("unbekannt")).alias("gremium_name"))
+            options = sorted(r["gremium_name"] for r in ambiguity(found, bodies).collect())
+            if options:
+                shape = best_hits(boost(merge_structured(hits, found, True), query), query).withColumn("clarify", F.lit("")).schema
+                return found.sparkSession.createDataFrame([("clarify", *[None] * (len(shape) - 2), "; ".join(options))], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape))
+        hits = merge_structured(hits, found, attendance_question)
+    hits = cut(boost(hits, query, top_key, iso_date, current, multi_doc))
+    if attendance_question and (top := hits.orderBy(F.desc("final_score"), "source", "id").select("source", "gremium_key").first()):
+        hits = focus(hits, top["source"] == "attendance", top["gremium_key"], multi_doc)
+    return best_hits(hits, query).withColumn("clarify", F.lit(None).cast("string"))
 
 
 def dedupe_sources(hits: DataFrame, faithful: bool = False) -> DataFrame:

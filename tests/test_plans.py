@@ -136,3 +136,21 @@ def test_pages_take_every_segment(spark, sf):
     db.execute(f"CREATE VIEW segments AS SELECT * FROM '{sf}/segments.parquet'")
     assert got == {(a, b): c for a, b, c in db.execute(QT.SQL["src3_pages"]).fetchall()}
     assert set(got) == set(db.execute("SELECT DISTINCT document_id::VARCHAR, start_page FROM segments WHERE start_page IS NOT NULL").fetchall())
+
+
+def test_search_has_attendance_rows(spark):
+    docs = spark.createDataFrame([(1, "rat", "Rat", date(2025, 1, 1), "a"), (2, "rat", "Rat", date(2024, 1, 1), "b"), (3, "bau", "Bauausschuss", date(2023, 1, 1), "c")], "id long, gremium_key string, gremium_name string, meeting_date date, source_filename string")
+    segments = spark.createDataFrame([(i, i, str(i), 1, "Sanierung der Turnhalle wird beschlossen", None) for i in (1, 2, 3)], "id long, document_id long, top_key string, start_page int, text_full string, embedding array<float>")
+    agenda = spark.createDataFrame([], "id long, document_id long, row_index int, top_key_curated string, title_curated string")
+    people = "id long, document_id long, faction_curated string, faction_extracted string, last_name_curated string, last_name_extracted string, salutation string, role_extracted string"
+    rows = [(7, 1, None, "X", None, "Muster", "Frau", "Mitglied"), (8, 2, None, "X", None, "Muster", "Frau", "Mitglied")]
+    q = P.Query(text="Sanierung", terms=("sanierung",))
+    run = lambda att, **o: P.search(q, segments, docs, agenda, spark.createDataFrame(att, people), person="muster", **o).collect()
+    asked = run(rows, attendance_question=True)
+    assert [(r["source"], r["id"]) for r in asked][:2] == [("attendance", 7), ("attendance", 8)] and all(r["final_score"] >= 1.0 for r in asked[:2])
+    assert {r["gremium_key"] for r in asked} == {"rat"} and len(asked) == 4
+    other = {(r["source"], r["id"]): r for r in run(rows)}
+    assert len(other) == 5 and other["attendance", 7]["rrf_score"] == 0.1
+    assert other["segment", 1]["rrf_score"] > 0.08 > other["segment", 3]["rrf_score"]
+    unclear = run([*rows, (9, 3, None, "X", None, "Muster", "Frau", "Mitglied")], attendance_question=True)
+    assert [(r["source"], r["clarify"]) for r in unclear] == [("clarify", "Bauausschuss; Rat")]
