@@ -75,7 +75,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all segment texts."""
-    return splitting.split_oversized(table(spark, sf_dir, "segments")).drop("stretch")
+    return splitting.split_oversized(table(spark, sf_dir, "segments"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

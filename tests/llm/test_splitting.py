@@ -29,3 +29,36 @@ def test_forced_and_rows(spark):
     assert pieces.where("length(text) > 2400").count() == 0
     assert pieces.where("id = 5").count() == 1 and pieces.where("id = 4").count() == 0
     assert P.split_oversized(spark.createDataFrame([], "id long, text_full string")).count() == 0
+
+
+def test_stretches_within_the_limit_are_never_cut():
+    """A stretch of up to the limit is one piece, its repeat gives way; one more character is cut at a word."""
+    for n in (2199, 2201, 2299, 2399, 2400):
+        stretch = ("wort " * 500)[: n - 1] + "x"
+        for end in (". ", "\n", "\n\n", "! \n"):
+            text = "Kurz davor. " + stretch + end + "Danach. " * 20
+            assert all(k in P.NATURAL_ENDS for *_, k in P.split_text(text)), (n, end)
+    assert "word" in {k for *_, k in P.split_text("wort " * 481)}
+
+
+def test_only_siblings_are_merged():
+    """Pieces never join the tail of a divided section with the next section."""
+    long = "# A\n" + "Ein Satz im Abschnitt. " * 150
+    text = long + "\n# B\n" + "Kurz. " * 20
+    pieces = P.split_text(text)
+    assert text[pieces[-1][1] :].startswith("# B")
+    nested = "# A\n## A1\n" + "Satz eins. " * 150 + "\n## A2\n" + "Satz zwei. " * 150 + "\n# B\nEnde.\n"
+    starts = [nested[n:][:4] for _, n, _, _ in P.split_text(nested)]
+    assert starts == ["# A\n", "## A", "# B\n"] or starts == ["# A\n", "## A", "## A", "# B\n"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["Satz. ", "wort ", "\n", "\n\n", "x" * 90, "Was? ", ".", "\r"]), max_size=60).map("".join))
+def test_forced_means_a_long_stretch(text):
+    """A cut at no natural boundary is made if and only if a stretch exceeds the limit."""
+    import re
+
+    longest = max(map(len, re.split(r"\n|\r|[.!?]\s", text)))
+    pieces = P.split_text(text, 100, 10)
+    if len(text) > 100:
+        assert any(k not in P.NATURAL_ENDS for *_, k in pieces) == (longest > 100)
