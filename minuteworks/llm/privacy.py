@@ -1,8 +1,9 @@
 """Problem 7: personal information in free text, by patterns and corpus disclosure.
 
-Patterns find direct identifiers and names after cues. What a corpus tells about a
-term then decides over all its other occurrences: a term that stands mostly where a
-person is named reveals that person wherever it stands, and is replaced as well.
+Patterns find direct identifiers. Names are told by the corpus: forms of address seed
+a few, and co-occurrence over all texts estimates how many bits each word and each
+surrounding discloses about a private person being named. What exceeds the threshold
+is replaced; words that reveal a name by their company are generalised or removed.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from minuteworks.session import cut
+from minuteworks.session import cut, stored
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 _AT = r"(?:\s?@\s?|\s?[\(\[\{]\s?(?:at|ät)\s?[\)\]\}]\s?|\s(?:at|ät)\s)"
@@ -41,19 +42,14 @@ ADDRESS = re.compile(rf"(?<!\w)(?:(?:[^\W\d_]+-)*[^\W\d_]{{3,}}{_STREET}|(?:[A-Z
 #: What looks like a phone or identity number but names a paper, file, account or project.
 OFFICIAL = re.compile(r"(?:drucksache|vorlage|aktenzeichen|az\.|haushaltsstelle|sachkonto|ma(?:ß|ss)nahmennummer|vorhaben|bebauungsplan(?:\s+nr\.)?|paper|document|stuk|projekt(?:nummer)?|kennziffer|produkt|beschluss(?:nummer)?|top|seite|euro|haushalt)\s*(?:nr\.?\s*)?:?\s*$", re.I)
 OFFICIAL_WORDS = ("drucksache", "vorlage", "aktenzeichen", "haushaltsstelle", "sachkonto", "maßnahmennummer", "vorhaben", "bebauungsplan")
-_UP = r"[A-ZÄÖÜÇŞİ][^\W\d_]+(?:-[^\W\d_]+)*"
 _ANY = r"[^\W\d_]{2,}(?:-[^\W\d_]+)*"
-CUES = (
-    # (pattern, groups are the parts of the name)
-    re.compile(rf"(?<!\w)(?:[Hh]errn?|[Ff]rau|[Ff]amilie|[Ee]hepaar|Hr\.|Fr\.|Mr\.?|Mrs\.?|Ms\.?|Mme|Monsieur|Madame|Mevrouw|Meneer)\s+(?:(?:Dr|Prof)\.\s+)*({_UP})(?:\s+({_UP}))?"),
-    re.compile(rf"(?<!\w)(?:herrn?|frau|familie)\s+({_ANY})()"),
-    re.compile(rf"(?<!\w)(?:[Mm]ein [Nn]ame ist|[Ii]ch heiße|[Ii]ch heisse|[Ii]ch bin (?:der|die)|[Mm]y name is|[Jj]e m'appelle|[Mm]ijn naam is|[Ii]k heet|[Aa]dım)\s+({_ANY})(?:\s+({_ANY}))?"),
-    re.compile(rf"(?<!\w)(?:(?:[Vv]iele |[Ll]iebe |[Bb]este |[Ss]chöne |[Ff]reundliche[nr]? |[Mm]it freundlichen )?[Gg]r(?:uß|üße|üßen|uss|uesse)|gez\.|[Gg]ezeichnet|[Mm][Ff][Gg]|[Ll][Gg]|[Vv][Gg]|i\.\s?A\.|[Rr]egards|[Cc]ordialement)[,:]?\s+({_ANY})\s+({_ANY})"),
-    re.compile(rf"(?:^|\s)[-–—]\s+({_UP}),\s+({_UP})(?!\w)"),
-)
-STOP = frozenset("und oder der die das den dem ein eine ist war hat haben zu zur zum mit von für auf an in im was wer wie wo wann welche welcher bitte nicht auch noch sich es er sie wir ihr mir mich stadt rat the and of for bittet sagt gesagt geäußert dr prof".split())
+#: Forms of address, of introducing oneself and of greeting: the only cues; they seed what the corpus then tells of words and their surroundings.
+ADDRESSED = re.compile(rf"(?<!\w)(?:herrn?|frau|familie|ehepaar|hr\.|fr\.|mr\.?|mrs\.?|ms\.?|mme|monsieur|madame|mevrouw|meneer)\s+(?:(?:dr|prof)\.\s+)*({_ANY})(?:\s+({_ANY}))?", re.I)
+INTRODUCED = re.compile(rf"(?<!\w)(?:mein name ist|ich hei(?:ß|ss)e|ich bin (?:der|die)|my name is|je m'appelle|mijn naam is|ik heet|adım)\s+({_ANY})(?:\s+({_ANY}))?", re.I)
+GREETED = re.compile(rf"(?<!\w)(?:gr(?:u(?:ß|ss)|ü(?:ß|ss)en?)|regards|cordialement)[,:]?\s+{_ANY}\s+({_ANY})()", re.I)
 WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-
+#: Words, and the signs that part them.
+UNITS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+|[^\w\s]|\n")
 
 def within_one_or_two(a: str, b: str) -> bool:
     """Whether two names differ by at most one edit, two in names of 8 letters or more (swaps count as one)."""
@@ -134,27 +130,56 @@ def direct(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def cued_names(text: str, spans: list[tuple[int, int, str]], known: Known, given: frozenset[str]) -> list[tuple[int, int]]:
-    """Names after a cue, or after a given name, that are no public person's."""
-    out: list[tuple[int, int]] = []
-    for i, pattern in enumerate(CUES):
-        for m in pattern.finditer(text):
-            parts = [(m.span(g), m.group(g)) for g in (1, 2) if m.group(g)]
-            while parts and parts[-1][1].lower() in STOP:
-                parts.pop()
-            if i in (0, 1) and len(parts) == 2 and parts[0][1].lower() not in given:
-                parts.pop()
-            if not parts or parts[0][1].lower() in STOP or len(parts[-1][1]) < 3:
-                continue
-            if i == 3 and len(parts) < 2 or any(p in known for _, p in parts if p.lower() not in given):
-                continue
-            if len(parts) == 1 and parts[0][1].lower() in given and i != 2:
-                continue
-            out.append((parts[0][0][0], parts[-1][0][1]))
-    for m in re.finditer(rf"(?<![\w])(?<!, )({_UP})\s+({_UP})", text):
-        if m.group(1).lower() in given and m.group(2) not in known and m.group(2).lower() not in STOP and m.group(2).lower() not in given:
-            out.append(m.span())
-    return [(a, b) for a, b in out if all(b <= x or a >= y for x, y, _ in spans)]
+def occurrences(text: str, spans: list[tuple[int, int, str]], known: Known, given: frozenset[str]) -> list[tuple[int, int, str, str, str, bool]]:
+    """Words that may be a name: (start, end, word, surroundings before, after, whether addressed).
+
+    Public persons' names, given names, words inside other personal information and
+    words of fewer than three letters are none. The surroundings are the two units on
+    each side, lower-cased, with ``#`` for numbers, ``@`` for a given name; across an
+    addressed public person or other span they end.
+    """
+    seeds: set[int] = set()
+    for m in (m for pattern in (ADDRESSED, INTRODUCED, GREETED) for m in pattern.finditer(text)):
+        first, second = m.group(1).lower(), m.group(2)
+        if first in given:
+            if second and second not in known and second.lower() not in given:
+                seeds.add(m.start(2))
+        elif m.group(1) not in known:
+            seeds.add(m.start(1))
+            if m.re is INTRODUCED and second and second[0].isupper() and second not in known:
+                seeds.add(m.start(2))
+    units: list[tuple[int, int, str]] = []
+    for m in UNITS.finditer(text):
+        at = next((i for i, (a, b, _) in enumerate(spans) if a <= m.start() < b), None)
+        word = m.group().lower()
+        if at is not None:
+            mark = f"<{spans[at][2]}>"
+            if not units or units[-1][2] != mark:
+                units.append((m.start(), m.end(), mark))
+            continue
+        units.append((m.start(), m.end(), "#" if word[0].isdigit() else "@" if word in given else word))
+    out = []
+    for i, (a, b, word) in enumerate(units):
+        if len(word) < 3 or not word[0].isalpha() or word in known:
+            continue
+        before = [units[j][2] if j >= 0 else "^" for j in (i - 1, i - 2)]
+        after = [units[j][2] if j < len(units) else "$" for j in (i + 1, i + 2)]
+        out.append((a, b, word, " ".join(before), " ".join(after), a in seeds))
+    return out
+
+
+def name_span(text: str, a: int, b: int, given: frozenset[str]) -> tuple[int, int]:
+    """A found name with the given name before it, or behind it and a comma."""
+    before = re.search(rf"({_ANY})\s+$", text[max(0, a - 60) : a])
+    if before and before.group(1).lower() in given:
+        a = max(0, a - 60) + before.start(1)
+    elif greeted := next((m for m in GREETED.finditer(text[max(0, a - 60) : b]) if m.end(1) == b - max(0, a - 60)), None):
+        a = max(0, a - 60) + WORDS.search(text[max(0, a - 60) : b], re.match(r"\w+", greeted.group()).end() + greeted.start()).start()
+    else:
+        after = re.match(rf",?\s+({_ANY})", text[b : b + 60])
+        if after and after.group(1).lower() in given:
+            b += after.end(1)
+    return a, b
 
 
 def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -169,18 +194,89 @@ def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def sanitise(df: DataFrame, id_col: str, text_col: str, members: DataFrame, source: str = "", min_bits: float = 3.0, min_share: float = 0.8, max_members: int = 1_000_000) -> DataFrame:
+#: Weight of the base rate in a share, in occurrences; bounds of one piece of evidence, in bits.
+SMOOTH, MOST_BITS, UNSEEN_BITS = 0.5, 12.0, 0.5
+FEATURES = ("word", "before", "after")
+PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]", "place": "[PLACE]", "term": "[…]"}
+_PLACE = re.compile(rf"(?:{_STREET}|stadt|dorf|heim|hausen|viertel|siedlung)$", re.I)
+
+
+def disclosure(name: str, base: Column) -> Column:
+    """Bits that a feature of an occurrence adds to the odds that it names a private person.
+
+    ``n_`` and ``p_`` of the feature are its occurrences and the protected ones, both
+    without this one. Surroundings that were never protected tell little, as most
+    names are not protected at first; a word never protected tells all it can.
+    """
+    share = (F.col(f"p_{name}") + SMOOTH * base) / (F.col(f"n_{name}") + SMOOTH)
+    bits = F.log2(share / (1 - share)) - F.log2(base / (1 - base))
+    least = F.when(F.col(f"p_{name}") > 0, -MOST_BITS).otherwise(-MOST_BITS if name == "word" else -UNSEEN_BITS)
+    return F.greatest(F.least(bits, F.lit(MOST_BITS)), least)
+
+
+def protected(seen: DataFrame, rounds: int = 4, grow_bits: float = -3.0, min_bits: float = 0.0, overrule_bits: float = -5.0) -> DataFrame:
+    """``row, start, end, word`` of the occurrences that name a private person.
+
+    ``seen``: row, start, end, seed, and hashes ``word, before, after``. An occurrence
+    is protected by the log-odds, in bits, that it names a private person: those of
+    all occurrences and what its word, the units before and those behind it disclose,
+    each estimated over all others in the corpus. At first the addressed ones (``seed``)
+    are protected; each round estimates anew from what the last one protected above
+    ``grow_bits``: words found beside an address teach surroundings, and these words.
+    At the end the odds must reach ``min_bits``; an addressed word goes free if the word
+    itself speaks against it by ``overrule_bits``.
+
+    Counts by feature are summed in partitions before they move; a round joins the
+    few protected features to the occurrences.
+    """
+    for k in FEATURES:
+        seen = seen.join(seen.groupBy(k).agg((F.count("*") - 1).cast("int").alias(f"n_{k}")), k)
+    seen = stored(seen)
+    total = seen.count()
+    found = cut(seen.where("seed").select("row", "start", "end", *FEATURES))
+    hits = found.count()
+    for at in range(rounds + 1):
+        if not hits:
+            break
+        base = F.lit(min(0.5, (hits + 0.5) / (total + 1)))
+        scored = seen
+        for k in FEATURES:
+            scored = scored.join(found.groupBy(k).agg(F.count("*").alias(f"p_{k}")), k, "left")
+        # Others stand with nothing that was protected.
+        scored = scored.where(" or ".join(f"p_{k} is not null" for k in FEATURES)).join(found.select("row", "start", F.lit(1).alias("own")), ["row", "start"], "left")
+        scored = scored.withColumns({f"p_{k}": F.coalesce(f"p_{k}", F.lit(0)) - F.coalesce("own", F.lit(0)) for k in FEATURES})
+        bits = F.log2(base / (1 - base)) + sum((disclosure(k, base) for k in FEATURES), F.lit(0.0))
+        # One surrounding alone names no one: both must speak for a word that was nowhere else protected.
+        backed = (F.col("p_word") > 0) | (disclosure("before", base) >= 1) & (disclosure("after", base) >= 1)
+        if at == rounds or at and hits == before:
+            last = scored.where(backed & (bits >= min_bits) | F.col("seed") & (disclosure("word", base) > overrule_bits))
+            return cut(last.select("row", "start", "end", "word"))
+        before = hits
+        found = cut(scored.where(backed & (bits >= grow_bits) | F.col("seed")).select("row", "start", "end", *FEATURES))
+        hits = found.count()
+    return found.select("row", "start", "end", "word")
+
+
+def revealing(seen: DataFrame, names: DataFrame, texts: DataFrame, min_texts: int = 3, min_share: float = 0.8) -> DataFrame:
+    """``row, start, end`` of other words that reveal a protected one though it is replaced.
+
+    A word reveals a name if at least ``min_texts`` distinct texts hold both, and at
+    least ``min_share`` of the texts with the word. Only rows with a name are paired.
+    """
+    entity = names.select("row", F.col("word").alias("entity")).distinct().join(texts, "row")
+    inside = seen.select("row", "word", "start", "end").join(names.select("row", "start"), ["row", "start"], "left_anti")
+    pairs = inside.join(entity, "row").groupBy("word", "entity").agg(F.count_distinct("text_key").alias("both")).where(F.col("both") >= min_texts)
+    with_word = seen.select("row", "word").join(pairs.select("word").distinct(), "word").join(texts, "row").groupBy("word").agg(F.count_distinct("text_key").alias("texts"))
+    telling = pairs.join(with_word, "word").where(F.col("both") >= F.col("texts") * min_share).select("word", "entity").distinct()
+    return inside.join(entity.select("row", "entity"), "row").join(telling, ["word", "entity"]).select("row", "start", "end").distinct()
+
+
+def sanitise(df: DataFrame, id_col: str, text_col: str, members: DataFrame, source: str = "", min_bits: float = 0.0, max_members: int = 1_000_000) -> DataFrame:
     """``sanitise_tables`` of one table."""
-    return sanitise_tables([(df, id_col, text_col, source)], members, min_bits, min_share, max_members)
+    return sanitise_tables([(df, id_col, text_col, source)], members, min_bits, max_members)
 
 
-def sanitise_tables(
-    tables: list[tuple[DataFrame, str, str, str]],
-    members: DataFrame,
-    min_bits: float = 3.0,
-    min_share: float = 0.8,
-    max_members: int = 1_000_000,
-) -> DataFrame:
+def sanitise_tables(tables: list[tuple[DataFrame, str, str, str]], members: DataFrame, min_bits: float = 0.0, max_members: int = 1_000_000) -> DataFrame:
     """Find personal information and replace it by typed placeholders.
 
     ``tables`` are (table, id column, text column, source). Returns ``source, id,
@@ -191,13 +287,11 @@ def sanitise_tables(
     typing error away. Null texts give no row, empty texts an empty result; repeated
     rows and ids give a row each; other columns are ignored.
 
-    A term's disclosure is the log-odds, in bits, that an occurrence of it names a
-    private person, against those of all other terms' occurrences, which count as
-    one in eight at most, so that no number of names in the tables switches it off.
-    Terms of at least ``min_bits`` of which at least ``min_share`` of the rows name a
-    person are protected: they are replaced in all rows. Terms are counted over the rows
-    of all tables and joined back by key; a row's terms travel only as words that some
-    row names a person with.
+    Direct identifiers have fixed shapes. Which words name a private person is
+    decided by what they and their surroundings disclose over all rows of all tables
+    (``protected``, odds of at least ``min_bits``); a given name beside such a word belongs to it. Words that reveal
+    a name by company (``revealing``) are generalised to ``[PLACE]`` where they are a
+    place or street, else removed (``[…]``); they have no type.
     """
     people = members.select("first_name", "last_name").limit(max_members + 1).collect()
     if len(people) > max_members:
@@ -210,40 +304,33 @@ def sanitise_tables(
             rows = []
             for source, key, text in zip(p["source"], p["id"], p["text"], strict=True):
                 spans = direct(text)
-                names = cued_names(text, spans, known, given)
-                inside = {w.lower() for a, b in names for w in WORDS.findall(text[a:b])} - given
-                # Words inside other spans tell nothing by themselves.
-                rest = [m.group().lower() for m in WORDS.finditer(text) if len(m.group()) >= 4 and not any(a <= m.start() < b for a, b, _ in spans)]
-                rows.append((source, key, text, [*spans, *((a, b, "name") for a, b in names)], sorted(inside), sorted(set(rest))))
-            yield pd.DataFrame(rows, columns=["source", "id", "text", "spans", "named", "terms"])
+                rows.append((source, key, text, spans, occurrences(text, spans, known, given)))
+            yield pd.DataFrame(rows, columns=["source", "id", "text", "spans", "seen"])
 
     parts = [df.select(F.lit(source).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()) for df, id_col, text_col, source in tables]
     rows = reduce(DataFrame.unionByName, parts)
     kind = rows.schema["id"].dataType.simpleString()
-    found = cut(rows.mapInPandas(find, f"source string, id {kind}, text string, spans array<struct<start:int,end:int,type:string>>, named array<string>, terms array<string>").withColumn("row", F.monotonically_increasing_id()))
-    occurs = found.select("row", F.explode("terms").alias("term"), F.col("named"))
-    totals = found.select(F.size("terms").alias("n"), F.size(F.array_intersect("terms", "named")).alias("p")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("p"), F.lit(0)).alias("p")).first()
-    # Partial sums before the shuffle: as many records as distinct terms of a partition.
-    counts = occurs.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.array_contains("named", F.col("term"))).alias("p"))
-    others = (F.lit(totals["p"]) - F.col("p") + 0.5) / (F.lit(totals["n"] - totals["p"]) - F.col("n") + F.col("p") + 0.5)
-    bits = F.log2((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5) / F.least(others, F.lit(1 / 8)))
-    protected = counts.where((F.col("p") > 0) & (bits >= min_bits) & (F.col("p") >= F.col("n") * min_share)).select("term")
-    hidden = occurs.where(~F.array_contains("named", F.col("term"))).select("row", "term").join(protected, "term").groupBy("row").agg(F.collect_set("term").alias("hidden"))
+    schema = f"source string, id {kind}, text string, spans array<struct<start:int,end:int,type:string>>, seen array<struct<start:int,end:int,word:string,before:string,after:string,seed:boolean>>"
+    found = stored(rows.mapInPandas(find, schema).withColumn("row", F.monotonically_increasing_id()))
+    seen = found.select("row", F.explode("seen").alias("x")).select("row", "x.start", "x.end", "x.seed", *[F.xxhash64(F.col(f"x.{k}")).alias(k) for k in FEATURES])
+    names = protected(seen, min_bits=min_bits)
+    company = revealing(seen, names, found.select("row", F.xxhash64("text").alias("text_key")))
+    marks = names.select("row", "start", "end", F.lit("name").alias("type")).unionByName(company.select("row", "start", "end", F.lit("term").alias("type")))
+    hidden = marks.groupBy("row").agg(F.collect_list(F.struct("start", "end", "type")).alias("hidden"))
 
     def replace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        placeholder = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
         for p in parts:
             rows = []
-            for source, key, text, spans, terms in zip(p["source"], p["id"], p["text"], p["spans"], p["hidden"], strict=True):
+            for source, key, text, spans, marks in zip(p["source"], p["id"], p["text"], p["spans"], p["hidden"], strict=True):
                 at = [(s["start"], s["end"], s["type"]) for s in spans]
-                if terms is not None and len(terms):
-                    wanted = set(terms)
-                    at += [(m.start(), m.end(), "name") for m in WORDS.finditer(text) if m.group().lower() in wanted and all(m.end() <= a or m.start() >= b for a, b, _ in at)]
+                told = [(m["start"], m["end"], m["type"]) for m in marks] if marks is not None else []
+                at += [(*name_span(text, a, b, given), t) for a, b, t in told if t == "name"]
+                at += [(a, b, "place" if _PLACE.search(text[a:b]) else "term") for a, b, t in told if t == "term" and all(b <= x or a >= y for x, y, _ in at)]
                 at, out, last = merged(at), [], 0
                 for a, b, t in at:
-                    out += [text[last:a], placeholder[t]]
+                    out += [text[last:a], PLACEHOLDERS[t]]
                     last = b
-                rows.append((source, key, at, sorted({t for *_, t in at}), "".join(out) + text[last:]))
+                rows.append((source, key, at, sorted({t for *_, t in at} & set(TYPES)), "".join(out) + text[last:]))
             yield pd.DataFrame(rows, columns=["source", "id", "spans", "types", "text"])
 
     joined = found.select("row", "source", "id", "text", "spans").join(hidden, "row", "left").select("source", "id", "text", "spans", "hidden")

@@ -43,3 +43,34 @@ def test_names_in_many_rows_and_over_tables(spark):
         got = {(r["source"], r["id"]): r["text"] for r in V.sanitise_tables([(df, "id", "query", "q"), (comments, "id", "comment", "c")], members).where("id = 500").collect()}
         assert got == {("q", 500): "[NAME] war auch da", ("c", 500): "Danke, [NAME]!"}
         assert V.sanitise(df, "id", "query", members, "q").where("id = 500").first()["types"] == ["name"]
+
+
+def corpus():
+    """Names that only some rows address, and closings that no cue covers."""
+    names = [a + b for a in ("Damrau", "Huxol", "Sieve", "Vogt", "Ebbke", "Plag", "Jork") for b in ("scheid", "mersen", "lingen", "inger")]
+    rows = [(i, f"Welche Kosten entstehen durch die Sanierung der Halle {i}?") for i in range(400)]
+    rows += [(1000 + i, f"Frau {n} sagt das auch.") for i, n in enumerate(names)]
+    rows += [(2000 + i, f"Was kostet die Halle? gez. Rolf {n}") for i, n in enumerate(names[:20])]
+    return rows + [(3000 + i, f"Was kostet die Halle? gez. Rolf {n}kamp") for i, n in enumerate(("Ober", "Unter", "Wester"))]
+
+
+def test_the_corpus_finds_names_without_cue(spark):
+    """Words addressed elsewhere teach a closing, the closing teaches new names; without rounds nobody does."""
+    members = spark.createDataFrame([("Rolf", "Brandhoff")], "first_name string, last_name string")
+    df = spark.createDataFrame(corpus(), "id long, query string")
+    got = {r["id"]: r for r in V.sanitise(df, "id", "query", members).collect()}
+    assert all(got[2000 + i]["types"] == ["name"] for i in range(20))
+    assert all(got[3000 + i]["text"] == "Was kostet die Halle? gez. [NAME]" for i in range(3))
+    assert not any(got[i]["types"] for i in range(400))
+    known, given = V.Known({"brandhoff"}), frozenset({"rolf"})
+    seeds = {i for i, t in corpus() if any(o[5] for o in V.occurrences(t, [], known, given))}
+    assert seeds == {1000 + i for i in range(28)}
+
+
+def test_company_that_reveals_is_generalised(spark):
+    members = spark.createDataFrame([("Rolf", "Brandhoff")], "first_name string, last_name string")
+    rows = [(i, f"Frau Sievena vom Kanuverein am Tulpenweg fragt zum {i}. Mal nach der Halle.") for i in range(5)] + [(100 + i, f"Wann kommt die Halle {i}, fragt der Verein?") for i in range(200)]
+    got = {r["id"]: r for r in V.sanitise(spark.createDataFrame(rows, "id long, query string"), "id", "query", members).collect()}
+    assert got[1]["types"] == ["name"]
+    assert "[NAME]" in got[1]["text"] and "Kanuverein" not in got[1]["text"] and "[PLACE]" in got[1]["text"] and "Halle" in got[1]["text"]
+    assert got[150]["text"] == rows[55][1]
