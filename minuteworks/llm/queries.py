@@ -69,6 +69,12 @@ def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.flag(table(spark, sf_dir, "chat_logs"), tagger).withColumnRenamed("id", "chat_log_id")
 
 
+def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated cutoff of every defect, with precision and recall on planted cases."""
+    tagger = language.train_on(table(spark, sf_dir, "documents"))
+    return spark.createDataFrame(defects.flags(table(spark, sf_dir, "chat_logs"), tagger).cutoffs, "defect string, cutoff double, precision double, recall double, cases int")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_defects(spark, sf_dir).where("first_defect is not null").select("chat_log_id", F.col("first_defect").alias("defect"))
 
