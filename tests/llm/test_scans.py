@@ -57,3 +57,32 @@ def test_headings_inside_text(spark):
     assert found == {101: {"hyphenation", "running_header"}, 102: {"running_header", "page_number"}}
     texts = {r["id"]: r["text"] for r in result.texts.collect()}
     assert texts[101] == CLEAN and texts[102] == f"{CLEAN} {CLEAN}" and texts[103] == RUN_ON[2][2]
+
+
+BODY = "Die Verwaltung erläutert die Beleuchtung der Grünanlage und der Ausschuss nimmt\ndavon mit Dank Kenntnis. Weitere Fragen zur Sanierung der Turnhalle werden in der\nnächsten Sitzung beantwortet, teilt die Verwaltung dem Ausschuss mit."
+
+
+def words_around(i):
+    return ("Halle", "Schule", "Brücke", "Straße", "Anlage")[i % 5], ("teuer", "neu", "alt", "schön", "leer")[(i // 2) % 5]
+
+
+def test_repetition_and_edges_decide_what_a_header_is(spark):
+    """A letterhead of any wording inside sentences is found; the same line after a paragraph's end is none."""
+    rows = []
+    for i in range(12):
+        a, b = words_around(i)
+        rows.append((i, i % 4, f"Der Ausschuss berät heute lange über die {a}\nFachbereich Bauen und Planen\n{b} gewordene Fläche am Rand. Dann endet die Sitzung."))
+        rows.append((100 + i, i % 4, f"{BODY}\nErgebnis der Abstimmung\n\nDie {a} ist {b}."))
+    found = {(r["segment_id"], r["noise"]) for r in noise(spark, rows).found.collect()}
+    assert found == {(i, "running_header") for i in range(12)}
+    once = noise(spark, rows[:1] + rows[1::2]).found.collect()
+    assert not once
+
+
+def test_sequences_decide_what_a_page_number_is(spark):
+    """Numbers of a usual style that don't go up are none; unusual ones that go up inside sentences are."""
+    rows = [(1, 1, "Es gibt\n12\n7\n9\nPlätze."), (2, 1, "Es gibt\n- 3 -\nPlätze und\n- 4 -\nBänke.")]
+    rows += [(10 + i, 2, f"Der Ausschuss berät\nTeil {i}\nüber die Halle und\nTeil {i + 1}\nüber die Brücke.") for i in range(5)]
+    rows += [(30 + i, 3, f"{BODY}\nJa: {7 * i % 10}\nNein: {3 * i % 8}") for i in range(8)]
+    found = {(r["segment_id"], r["noise"]) for r in noise(spark, rows).found.collect()}
+    assert found == {(2, "page_number")} | {(10 + i, "page_number") for i in range(5)}
