@@ -192,10 +192,20 @@ def _fit(data: list[tuple[int, list[str]]], k: int, epochs: int, seed: int) -> T
 
 
 def train_on(df: DataFrame, text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, languages: tuple[str, ...] = LANGUAGES) -> Tagger:
-    """A tagger fit on at most ``rows_per_language`` labelled texts a language, picked by hash."""
-    labelled = df.select(F.col(text_col).alias("text"), label_language(F.col(label_col)).alias("lang")).where(F.col("lang").isin(*languages) & F.length("text").between(40, 6000))
-    few = labelled.withColumn("h", F.xxhash64("text")).withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= rows_per_language)
-    return train([(r["lang"], r["text"]) for r in few.select("lang", "text", "h").collect()], languages)
+    """A tagger fit on at most ``rows_per_language`` labelled texts a language of 40 to 6,000 characters.
+
+    Texts are picked by hash: a first pass estimates how many distinct ones each
+    language has, a second keeps those with a hash below the share that is needed,
+    where they lie. Only about twice the sample is shuffled; copies count once.
+    """
+    labelled = df.select(F.col(text_col).alias("text"), label_language(F.col(label_col)).alias("lang")).where(F.col("lang").isin(*languages) & F.length("text").between(40, 6000)).withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        return train([], languages)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * rows_per_language / max(1, n)))])
+    drawn = labelled.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    few = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= rows_per_language)
+    return train([(r["lang"], r["text"]) for r in few.orderBy("lang", "h").select("lang", "text").collect()], languages)
 
 
 def analyse(tagger: Tagger, texts: list[str], languages: tuple[str, ...], min_words: int = 4, sure: float = 0.5) -> list[tuple]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from minuteworks.llm.tokens import TOKENIZER_DIR, TOKENIZER_FILE, n_tokens
@@ -46,7 +48,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    block_tokens: int | None = None,
+    block_tokens: int = 512,
     max_sources: int = 10_000,
     tokenizer_dir: str = TOKENIZER_DIR,
     tokenizer_file: str = TOKENIZER_FILE,
@@ -60,7 +62,7 @@ def mix(
     used more often than its source's ``max_repeats``. Null and empty texts have 0
     tokens and are used like others.
 
-    The documents of a source are shuffled by hash and cut into blocks of about
+    The documents of a source are shuffled by a hash of id and text and cut into blocks of about
     ``block_tokens`` (a document belongs to the block in which it begins). Slot i of
     the mixture lies at frac(i * golden ratio), which falls into one source's part
     of the cumulated weights; the r-th slot of a source takes its r-th block, from
@@ -86,14 +88,14 @@ def mix(
     docs = cut(df.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         n_tokens(F.col(text_col), tokenizer_dir, tokenizer_file).alias("n"),
-        F.xxhash64(F.monotonically_increasing_id(), F.lit(11)).alias("order"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("order"),
     ))
     known = docs.join(F.broadcast(wanted.select("source")), "source") if goal else docs.limit(0)
     sums = {r["source"]: (r["n"], r["rows"]) for r in known.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     sizes = {s: n for s, (n, _) in sums.items()}
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shares = fill_shares(sizes, goal, total)
-    block = block_tokens or max(256, min(1 << 20, total // 20_000))
+    block = block_tokens
 
     # Blocks: the running sum within a source, over buckets of the hash order.
     rows = sum(r for _, r in sums.values())
@@ -119,10 +121,16 @@ def mix(
         edges.append((s, at, at + used[s] / mass))
         at += used[s] / mass
     edges = [(s, a, 2.0 if i + 1 == len(edges) else b) for i, (s, a, b) in enumerate(edges)]
-    parts = spark.createDataFrame([(s, a, b, -(-sizes[s] // block), int(goal[s][1])) for s, a, b in edges], "source string, low double, high double, blocks long, max_repeats int")
+    parts = spark.createDataFrame([(i, s, -(-sizes[s] // block), int(goal[s][1])) for i, (s, _, _) in enumerate(edges)], "part int, source string, blocks long, max_repeats int")
     chunk = 10_000
     points = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / chunk).alias("chunk"), ((F.col("id") * GOLDEN) % 1.0).alias("x"))
-    owned = points.join(F.broadcast(parts), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    bounds = np.array([a for _, a, _ in edges[1:]])
+
+    @F.pandas_udf("int")
+    def part_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), side="right").astype(np.int32))
+
+    owned = points.withColumn("part", part_of("x")).join(F.broadcast(parts), "part").drop("part")
     counts = owned.groupBy("source", "chunk").agg(F.count("*").alias("c"))
     offsets = counts.select("source", "chunk", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
     ranked = owned.withColumn("r", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1).join(offsets, ["source", "chunk"]).withColumn("r", F.col("r") + F.col("skip"))

@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from minuteworks.session import cut
 
-#: Short forms of given names (fixed values).
+#: Short forms and variants of German given names in general use (fixed values); others are met by rules.
 NICKNAMES = {
-    "wolfgang": "wolf wolle", "friedrich": "fritz friedel fred", "katharina": "kathi kathrin katja", "elisabeth": "lisbeth elli lisa else liesel sissi", "christine": "christel tine christina chris",
-    "margarete": "grete gretel marga margret", "susanne": "susi sanne suse", "manfred": "manni mane", "hartmut": "hardy", "ludwig": "lutz wiggerl", "ulrich": "uli ulli", "torsten": "thorsten toto",
-    "stefan": "stephan steffen steff", "jürgen": "jochen jogi", "bernd": "bernhard berni", "gerda": "gerti", "renate": "reni nate", "sabine": "bine biene", "petra": "peti", "monika": "moni", "birgit": "biggi",
-    "dieter": "didi", "walter": "walther walli", "karl": "carl kalle", "rolf": "rudolf rudi", "heike": "heiki", "holger": "holgi", "ilse": "ilschen",
+    "alexander": "alex sascha sandro", "alfred": "fredi freddy", "andreas": "andi andy andrea", "anna": "anni änne anja", "anton": "toni", "barbara": "babsi bärbel", "bernd": "bernhard berni", "birgit": "biggi gitte birgitta",
+    "christian": "chris krischan", "christine": "christel tine christina kristin", "daniel": "dani", "dieter": "didi", "dorothea": "doris dora thea dörte", "eduard": "edi ede", "elisabeth": "lisbeth elli lisa else liesel sissi elsbeth",
+    "franz": "franzl", "friedrich": "fritz friedel fred", "georg": "jörg schorsch jürg", "gerda": "gerti gertrud", "gerhard": "gerd gert", "gottfried": "götz", "gustav": "gustl", "hans": "hansi johann", "hartmut": "hardy",
+    "heike": "heiki", "heinrich": "heinz heiner hinrich henrik heino", "helene": "leni lene", "helga": "helgi", "hermann": "harm", "hildegard": "hilde", "holger": "holgi", "ilse": "ilschen", "ingeborg": "inge inga",
+    "jakob": "jacob jascha", "joachim": "achim jochen jo", "johannes": "hannes jannes jan", "josef": "sepp jupp joseph jo", "jürgen": "jogi jörn", "karl": "carl kalle charly", "katharina": "kathi kathrin katja käthe", "klaus": "claus",
+    "konrad": "conrad kurt conny", "ludwig": "lutz wiggerl", "manfred": "manni mane fred", "margarete": "grete gretel marga margret gretchen", "maria": "marie mia mizzi", "markus": "marcus", "martin": "maddin", "matthias": "mathias hias",
+    "maximilian": "max maxi", "michael": "micha michel mike", "monika": "moni", "nikolaus": "klaas nico niklas", "paul": "pauli", "peter": "pit peer", "petra": "peti", "philipp": "phil", "rainer": "reiner", "regina": "gina", "renate": "reni nate",
+    "richard": "richie", "robert": "robby bert", "rolf": "rudolf rudi", "sabine": "bine biene", "sebastian": "basti bastian", "siegfried": "sigi siggi", "stefan": "stephan steffen steff", "susanne": "susi sanne suse", "theodor": "theo",
+    "thomas": "tom tommi", "torsten": "thorsten toto", "ulrich": "uli ulli ulla", "ursula": "uschi ulla", "walter": "walther walli", "werner": "wernfried", "wilhelm": "willi willy helmut", "wolfgang": "wolf wolle",
 }
 #: Words that are no part of a person's name, and none of a group's (fixed values).
 TITLES = "herr herrn frau hr fr dr prof med jur phil rer nat ing dipl mag ra rin rm bm obm bv bgm stv stellv vors vorsitz vorsitzender vorsitzende ratsherr ratsfrau bürgermeister bürgermeisterin sachkundiger sachkundige entschuldigt mdl"
@@ -43,7 +48,10 @@ def fold(text: str) -> str:
 
 
 _TITLES, _LEGAL = frozenset(fold(TITLES).split()), frozenset(fold(LEGAL).split())
-_FULL = {short: fold(full) for full, names in NICKNAMES.items() for short in fold(names).split()}
+_FULL: dict[str, set[str]] = {}
+for _name, _shorts in NICKNAMES.items():
+    for _short in fold(_shorts).split():
+        _FULL.setdefault(_short, set()).add(fold(_name))
 
 
 def flat(text: str) -> str:
@@ -60,9 +68,12 @@ def deletions(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def given_name(word: str) -> str:
-    """The full form of a given name, as far as known."""
-    return _FULL.get(word, word)
+def full_names(word: str) -> set[str]:
+    """The given names that a word may stand for: itself, and those it is a short form or variant of."""
+    return {word} | _FULL.get(word, set()) | {short for full in (_FULL.get(word, set()) | {word}) if full in _SHORT for short in _SHORT[full]}
+
+
+_SHORT = {fold(full): fold(names).split() for full, names in NICKNAMES.items()}
 
 
 # Persons ---------------------------------------------------------------------------------
@@ -108,8 +119,8 @@ def person_mention(text: str, given: frozenset[str]) -> list[tuple[str, str, int
             continue
         if len(bare) == 1:
             readings.append((rest, bare, spare))
-        elif given_name(bare) in given:
-            readings.append((rest, given_name(bare), spare))
+        elif meant := full_names(bare) & given:
+            readings += [(rest, g, spare) for g in sorted(meant)]
         elif hit := next((near[d] for d in sorted(deletions(bare)) if len(d) >= 3 and d in near), None):
             readings.append((rest, hit, spare))
         else:
@@ -192,18 +203,23 @@ def group_mention(text: str) -> list[tuple[str, str, int]]:
 
 
 def group_entry(name: str, short: str | None) -> list[str]:
-    """Forms of an entry: short name, words dropped, cut short, put together, letters left out."""
+    """Forms of an entry: short name, words dropped, cut short, put together, letters left out.
+
+    Of names of more than eight words, as many are dropped as leave one or two, or
+    one or two are; they are cut short all at once: forms stay few for any entry.
+    """
     forms: set[str] = set()
     if short:
         forms.add("a" + "".join(re.findall(r"[a-z]+", fold(short))))
     forms |= {"~" + d for d in deletions(re.sub(r"[^a-z]", "", flat(name)))}
     for words in group_readings(name):
         for ws in word_sets(words):
-            for n in range(1, len(ws) + 1):
+            for n in range(1, len(ws) + 1) if len(ws) <= 8 else (1, 2, *range(len(ws) - 2, len(ws) + 1)):
                 for kept in itertools.combinations(ws, n):
                     if len(kept) < 2 and len(kept[0]) < 8 or sum(map(len, kept)) < 8:
                         continue
-                    for mask in range(1 << len(kept)) if n == len(ws) else (0,):
+                    masks = range(1 << n) if n <= 8 else (0, (1 << n) - 1)
+                    for mask in masks if n == len(ws) else (0,):
                         forms.add("t" + " ".join(sorted(w[0] + "." if mask >> i & 1 else w for i, w in enumerate(kept))))
         for order in (words, words[::-1]):
             forms |= {"-" + d for d in deletions("".join(order))}
@@ -226,6 +242,11 @@ def _explode(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, which adaptive execution doesn't merge."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def link_groups(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """``name, entry, cost, rarity``: the one entry that a group's name stands for.
 
@@ -236,7 +257,7 @@ def link_groups(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     forms = _explode(entries.select("entry", "name", "short_name").where("name is not null"), lambda r: ((f, r.entry) for f in group_entry(r.name, r.short_name)), "form string, entry string")
     n = Window.partitionBy("form")
     forms = forms.distinct().withColumn("rarity", -F.log2(F.count("*").over(n)))
-    said = _explode(mentions.select("name").where("name is not null").distinct(), lambda r: ((r.name, f, c) for f, _, c in group_mention(r.name)), "name string, form string, cost int")
+    said = _explode(_spread(mentions.select("name").where("name is not null").distinct()), lambda r: ((r.name, f, c) for f, _, c in group_mention(r.name)), "name string, form string, cost int")
     met = said.join(forms, "form").groupBy("name", "entry").agg(F.max(F.struct(-F.col("cost"), F.col("rarity"))).alias("best"))
     first = Window.partitionBy("name").orderBy(F.desc("best"))
     ranked = met.withColumn("rank", F.rank().over(first)).where("rank = 1")
@@ -244,22 +265,27 @@ def link_groups(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     return alone.select("name", "entry", (-F.col("best.col1")).cast("int").alias("cost"), F.col("best.rarity").alias("rarity"))
 
 
-def link_persons(mentions: DataFrame, entries: DataFrame) -> DataFrame:
+def link_persons(mentions: DataFrame, entries: DataFrame, max_given: int = 100_000) -> DataFrame:
     """``block, name, hint, entry, cost``: the one entry that a person's name stands for.
 
     ``mentions``: block, name, hint; ``entries``: entry, first_name, last_name, hint,
     blocks. A name is compared with the entries of its block. A given name or initial
     must be the entry's; an equal hint (the person's group) decides between entries of
-    one surname. Names explained equally well by several entries are left out.
+    one surname. Names explained equally well by several entries are left out. More
+    than ``max_given`` given names of entries raise an error: all workers get them.
     """
     people = cut(entries.where("last_name is not null").select("entry", F.coalesce("first_name", F.lit("")).alias("first_name"), "last_name", F.col("hint").alias("own"), F.explode("blocks").alias("block")))
     # Given names are a closed vocabulary; the table of entries is a fixed one.
-    given = frozenset(fold(r["first_name"]) for r in people.select("first_name").distinct().limit(100_000).collect() if r["first_name"])
-    given |= frozenset(fold(n) for n in NICKNAMES)
+    listed = people.select("first_name").distinct().limit(max_given + 1).collect()
+    if len(listed) > max_given:
+        raise ValueError(f"more than {max_given} given names")
+    given = frozenset(fold(r["first_name"]) for r in listed if r["first_name"])
+    given |= frozenset(_SHORT)
     forms = _explode(people.select("entry", "first_name", "last_name").distinct(), lambda r: ((f, r.entry, fold(r.first_name)) for f in person_entry(r.last_name)), "form string, entry string, first string")
     placed = people.select("entry", "own", "block").join(forms, "entry").withColumn("rarity", -F.log2(F.count("*").over(Window.partitionBy("block", "form"))))
     distinct = mentions.select("block", "name", "hint").where("name is not null and block is not null").distinct()
-    said = _explode(distinct.select("name").distinct(), lambda r: ((r.name, f, g, c) for f, g, c in person_mention(r.name, given)), "name string, form string, given string, cost int")
+    # A name gives some thirty forms: spread over all tasks, however few bytes the names are.
+    said = _explode(_spread(distinct.select("name").distinct()), lambda r: ((r.name, f, g, c) for f, g, c in person_mention(r.name, given)), "name string, form string, given string, cost int")
     met = distinct.join(said, "name").join(placed, ["block", "form"])
     agrees = F.when(F.col("given") == "", 0).when(F.col("given") == F.col("first"), 2).when((F.length("given") == 1) & F.startswith("first", "given"), 1).otherwise(-1)
     met = met.withColumn("agrees", agrees).where("agrees >= 0")

@@ -78,8 +78,8 @@ def pack(
     position``: a document that fits is one piece; a longer one gets full containers
     and a last piece that is packed like the others. ``container`` is unique over the
     whole result, ``position`` is the token offset in it. Null or empty texts are
-    items of 0 tokens and take no room. Rows are packed as they come, repeated ids
-    and rows too; other columns are ignored; an empty table gives an empty result.
+    items of 0 tokens and take no room. Rows are packed in an order that follows from
+    id and text, whatever the partitioning; repeated ids and rows are packed each; other columns are ignored; an empty table gives an empty result.
 
     The rows fall evenly into groups of about ``group_rows`` that are packed side by
     side, longest first; a group leaves a few containers part empty, whatever the
@@ -90,7 +90,7 @@ def pack(
     items = df.select(
         F.col(id_col).alias("id"),
         n_tokens(F.col(text_col), tokenizer_dir, tokenizer_file).alias("n"),
-        F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
     ).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups)))
     items = cut(items)
     # All pieces but the last fill a container of their own.

@@ -50,3 +50,23 @@ def test_empty_and_repeated(spark):
 @pytest.mark.parametrize("word", ["", "a", "x" * 5000])
 def test_forms_of_odd_words(word):
     assert isinstance(N.person_mention(word, frozenset()), list)
+
+
+def test_nicknames_of_people_outside_the_members_table(spark):
+    """Given names in general use, none of them taken from the tables of the tests."""
+    people = [("Heinrich", "Grote"), ("Johannes", "Grote"), ("Josef", "Grote"), ("Alexander", "Grote"), ("Michael", "Grote"), ("Thomas", "Grote"), ("Andreas", "Grote"), ("Wilhelm", "Grote")]
+    typed = {"Heinz Grote": "Heinrich", "Grote, Hannes": "Johannes", "Sepp Grote": "Josef", "Sascha Grote": "Alexander", "Micha Grote": "Michael", "Tom Grote": "Thomas", "Andi Grote": "Andreas", "Willy Grote": "Wilhelm"}
+    entries = spark.createDataFrame([(f, f, n, None, ["rat"]) for f, n in people], "entry string, first_name string, last_name string, hint string, blocks array<string>")
+    mentions = spark.createDataFrame([("rat", t, None) for t in typed], "block string, name string, hint string")
+    got = {r["name"]: r["entry"] for r in N.link_persons(mentions, entries).collect()}
+    assert got == typed
+    without = {r["name"]: r["entry"] for r in N.link_persons(spark.createDataFrame([("rat", "Grote", None)], mentions.schema), entries).collect()}
+    assert without == {}
+
+
+def test_too_many_given_names_raise(spark):
+    import pytest
+
+    entries = spark.createDataFrame([(str(i), f"N{i}", "Grote", None, ["rat"]) for i in range(5)], "entry string, first_name string, last_name string, hint string, blocks array<string>")
+    with pytest.raises(ValueError):
+        N.link_persons(spark.createDataFrame([("rat", "Grote", None)], "block string, name string, hint string"), entries, max_given=3)
