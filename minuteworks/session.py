@@ -99,7 +99,8 @@ def bucketed(df: DataFrame, key: str, buckets: int, distinct: bool = False) -> D
     With ``distinct`` one row a key is kept, after the one shuffle that this takes.
 
     Like ``cut``, but later joins and aggregations on ``key`` don't shuffle this
-    side again, and readers load only the columns they use.
+    side again, and readers load only the columns they use. The catalogue keeps no
+    entry; the files go with the checkpoint folder.
     """
     spark = df.sparkSession
     shared_dir(spark)
@@ -108,4 +109,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, distinct: bool = False) -> D
     placed = df.repartition(buckets, key)
     placed = placed.dropDuplicates([key]) if distinct else placed
     placed.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    # The frame holds its own relation to the files, so that the entry can go.
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
