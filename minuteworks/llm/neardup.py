@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minuteworks.session import bucketed, cut
 
@@ -150,6 +150,8 @@ def near_duplicates(
     stride: int = 4,
     sigma: float = 5.0,
     low_sigma: float = 3.5,
+    hot: int = 100,
+    hot_miss: float = 0.1,
 ) -> NearDuplicates:
     """Texts of at least ``min_chars`` characters whose word runs have Jaccard similarity ``threshold`` or more.
 
@@ -161,7 +163,11 @@ def near_duplicates(
     32-bit hashes within a pair, texts by 64-bit hashes of their words.
 
     Band i is made of ``rows`` registers from ``i * stride`` on. A pair of similarity s
-    is missed with a chance of about (1 - s^rows)^bands. A band travels with the
+    is missed with a chance of about (1 - s^rows)^bands. Bands that more than ``hot``
+    classes share are common phrases, whose pairs would grow with the square of the
+    collection: there, four further registers must agree as well, in one of as many
+    tries as keep the chance to miss a pair at the threshold in one such band at
+    ``hot_miss``; were all bands hot, (1 - s^rows * (1 - hot_miss))^bands. A band travels with the
     lowest bits of up to 128 registers, which already rule out most chance matches
     (those more than ``low_sigma`` deviations below the threshold);
     pairs go on whose likelihood at the threshold is within ``sigma`` standard
@@ -200,14 +206,30 @@ def near_duplicates(
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.count() // 50_000)
     classes = bucketed(signed, "cls", buckets, distinct=True)
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * stride + 1, rows)))
-    banded = classes.select("cls", "n", "low_0", "low_1", F.explode(hashes).alias("band"))
-    a, b = (banded.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "low_0", "low_1")]) for x in "ab")
     apart = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up)
     # Equal registers have equal low bits, others half of the time.
     equal = (1 + t) / 2
     most = checked - math.floor(equal * checked - low_sigma * math.sqrt(checked * equal * (1 - equal)))
     differ = F.bit_count(F.col("low_0_a").bitwiseXOR(F.col("low_0_b"))) + F.bit_count(F.col("low_1_a").bitwiseXOR(F.col("low_1_b")))
-    proposed = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & apart & (differ <= most)).select("cls_a", "cls_b", "n_a", "n_b").distinct()
+
+    def matches(keyed: DataFrame) -> DataFrame:
+        """Pairs of classes with an equal key that sizes and low bits don't rule out."""
+        a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "low_0", "low_1")]) for x in "ab")
+        return a.join(b, "key").where((F.col("cls_a") < F.col("cls_b")) & apart & (differ <= most)).select("cls_a", "cls_b", "n_a", "n_b")
+
+    # The count and the join need one shuffle of the bands.
+    banded = classes.select("cls", "n", "low_0", "low_1", F.posexplode(hashes).alias("at", "key")).withColumn("held", F.count("*").over(Window.partitionBy("key")))
+    proposed = matches(banded.where(F.col("held") <= hot))
+    longer, tries = 4, max(1, math.ceil(math.log(hot_miss) / math.log1p(-(t**4))))
+    if registers > rows + longer * (tries + 1):
+        # Bands of many classes are common phrases: they must agree in more registers as well.
+        wide = banded.where(F.col("held") > hot).select("cls", "at", "key").join(classes.select("cls", "n", "low_0", "low_1", "regs"), "cls")
+        begin = (F.col("at") * stride + rows + F.col("try") * longer) % (registers - longer) + 1
+        wide = wide.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("key", F.xxhash64("key", "try", F.slice("regs", begin.cast("int"), longer)))
+        proposed = proposed.unionByName(matches(wide))
+    else:
+        proposed = proposed.unionByName(matches(banded.where(F.col("held") > hot)))
+    proposed = proposed.distinct()
 
     @F.pandas_udf("boolean")
     def likely(regs_a: pd.Series, regs_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:

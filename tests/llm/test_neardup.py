@@ -81,3 +81,20 @@ def test_sketch_estimates_similarity_and_merges():
     assert abs(est - 0.6) < 0.08
     both = N.sketch(np.unique(np.concatenate([x, y])), np.array([0]), 512)[0]
     assert (np.maximum(sx, sy) == both).all()
+
+
+def test_hot_bands_lose_no_pair(spark):
+    """Many texts share a long phrase, so that bands are hot; near pairs among them are found all the same."""
+    import random
+
+    rng = random.Random(5)
+    phrase = [f"amt{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * i, 1, " ".join(phrase + own)))
+        rows.append((2 * i + 1, 2, " ".join(phrase + own[:-1] + ["anders"])))
+    df = spark.createDataFrame(rows, "id long, doc long, text string")
+    options = {"k": 1, "threshold": (8, 10), "rows": 4, "bands": 30, "stride": 4}
+    found = {tuple(r) for r in N.near_duplicates(df, "id", "text", "doc", hot=5, **options).row_pairs().collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(300)}
