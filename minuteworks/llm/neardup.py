@@ -150,7 +150,7 @@ def near_duplicates(
     stride: int = 4,
     sigma: float = 5.0,
     low_sigma: float = 3.5,
-    hot: int = 100,
+    hot: int = 200,
     hot_miss: float = 0.1,
 ) -> NearDuplicates:
     """Texts of at least ``min_chars`` characters whose word runs have Jaccard similarity ``threshold`` or more.
@@ -174,6 +174,8 @@ def near_duplicates(
     deviations of the greatest. Sketches and sets are written once, bucketed by
     class, and are not shuffled again.
     """
+    if bands > 256:
+        raise ValueError("at most 256 bands")
     registers = stride * (bands - 1) + rows
     checked = min(128, registers)
     up, down = threshold
@@ -205,7 +207,8 @@ def near_duplicates(
     signed = source.select("cls", "text").mapInPandas(sign, "cls long, n int, low_0 long, low_1 long, regs array<short>, els array<int>")
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.count() // 50_000)
     classes = bucketed(signed, "cls", buckets, distinct=True)
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("regs", i * stride + 1, rows)))
+    # The lowest eight bits of a key are the band's number: no column beside it, so that all uses share one shuffle.
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.shiftleft(F.xxhash64(F.slice("regs", i * stride + 1, rows)), 8).bitwiseOR(i.cast("long")))
     apart = (F.col("n_a") * down >= F.col("n_b") * up) & (F.col("n_b") * down >= F.col("n_a") * up)
     # Equal registers have equal low bits, others half of the time.
     equal = (1 + t) / 2
@@ -218,13 +221,13 @@ def near_duplicates(
         return a.join(b, "key").where((F.col("cls_a") < F.col("cls_b")) & apart & (differ <= most)).select("cls_a", "cls_b", "n_a", "n_b")
 
     # The count and the join need one shuffle of the bands.
-    banded = classes.select("cls", "n", "low_0", "low_1", F.posexplode(hashes).alias("at", "key")).withColumn("held", F.count("*").over(Window.partitionBy("key")))
+    banded = classes.select("cls", "n", "low_0", "low_1", F.explode(hashes).alias("key")).withColumn("held", F.count("*").over(Window.partitionBy("key")))
     proposed = matches(banded.where(F.col("held") <= hot))
     longer, tries = 4, max(1, math.ceil(math.log(hot_miss) / math.log1p(-(t**4))))
     if registers > rows + longer * (tries + 1):
         # Bands of many classes are common phrases: they must agree in more registers as well.
-        wide = banded.where(F.col("held") > hot).select("cls", "at", "key").join(classes.select("cls", "n", "low_0", "low_1", "regs"), "cls")
-        begin = (F.col("at") * stride + rows + F.col("try") * longer) % (registers - longer) + 1
+        wide = banded.where(F.col("held") > hot).select("cls", "key").join(classes.select("cls", "n", "low_0", "low_1", "regs"), "cls")
+        begin = (F.col("key").bitwiseAND(255) * stride + rows + F.col("try") * longer) % (registers - longer) + 1
         wide = wide.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("key", F.xxhash64("key", "try", F.slice("regs", begin.cast("int"), longer)))
         proposed = proposed.unionByName(matches(wide))
     else:
