@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -95,12 +96,28 @@ def agenda_key(c: Column) -> Column:
     return F.struct(num.try_cast("int").alias("num"), F.nullif(sub, F.lit("")).alias("sub"), F.nullif(suffix, F.lit("")).alias("suffix"), F.nullif(norm, F.lit("")).alias("norm"))
 
 
-#: Role words by canonical role (fixed values).
+def review_key(c: Column) -> Column:
+    """FN15: the review parser of agenda keys: number, suffix, sub number and normal form.
+
+    ``13``, ``13A``, ``13.a``, ``10.1`` and ``10.1.2`` are understood; of anything else
+    that begins with digits only the number counts, otherwise it is 0. ``norm`` is the
+    number, the suffix in upper case, and the sub number behind a point. Null stays null.
+    """
+    t = F.trim(F.regexp_replace(c, r"\s*\.\s*", "."))
+    num = F.coalesce(F.regexp_extract(t, r"^(\d+)", 1).try_cast("int"), F.lit(0))
+    suffix = F.nullif(F.upper(F.regexp_extract(t, r"^\d+\s*\.?([A-Za-z])$", 1)), F.lit(""))
+    one, two = (F.regexp_extract(t, r"^\d+\.(\d+)(?:\.(\d+))?$", i).try_cast("int").cast("string") for i in (1, 2))
+    sub = F.nullif(F.concat_ws(".", one, two), F.lit(""))
+    norm = F.concat(num.cast("string"), F.coalesce(suffix, F.lit("")), F.coalesce(F.concat(F.lit("."), sub), F.lit("")))
+    return F.when(c.isNotNull(), F.struct(num.alias("num"), suffix.alias("suffix"), sub.alias("sub"), norm.alias("norm")))
+
+
+#: Spellings by canonical role (fixed values).
 ROLES = {
-    "vorsitz": ("vorsitz", "vorsitzende", "vorsitzender", "ausschussvorsitz", "bezirksbürgermeister", "bezirksbürgermeisterin", "oberbürgermeister", "oberbürgermeisterin"),
-    "stv_vorsitz": ("stv. vorsitz", "stellv. vorsitz", "stellvertretender vorsitz"), "rat": ("ratsmitglied", "ratsmitgl.", "mitglied des rates", "rm"),
-    "bezirk": ("bezirksvertreter", "bezirksvertreterin"), "sachkundig": ("sachkundiger bürger", "sachkundige bürgerin", "sachkundige einwohnerin", "sachkundiger einwohner"),
-    "verwaltung": ("verwaltung",), "schriftfuehrung": ("schriftführung", "schriftführer", "schriftführerin"), "gast": ("gast", "gäste"),
+    "vorsitz": ("vorsitz",), "mitglied": ("mitglied", "mitglieder"), "rat": ("rat", "mitglied des rates", "mitglieder des rates"), "verwaltung": ("verwaltung",),
+    "schriftfuehrung": ("schriftfuehrung", "schriftführer", "schriftfuehrer", "schriftführerin", "schriftfuehrerin"), "gast": ("gast", "gäste"), "sonstige": ("sonstige",),
+    "fehlt_entschuldigt": ("fehlt_entschuldigt", "fehlt: entschuldigt", "fehlt entschuldigt", "entschuldigt"),
+    "fehlt_unentschuldigt": ("fehlt_unentschuldigt", "fehlt: unentschuldigt", "fehlt unentschuldigt", "unentschuldigt"),
 }
 
 
@@ -146,41 +163,92 @@ def confidence(c: Column, default: float = 0.0) -> Column:
     return F.least(F.greatest(F.when(x.isNull() | F.isnan(x), F.lit(default)).otherwise(x), F.lit(0.0)), F.lit(1.0))
 
 
-#: Endings of nouns for things and places (fixed values).
-NOUN_ENDINGS = "ung heit keit schaft tion straße platz weg allee park schule haus halle bad plan markt garten brücke hof amt".split()
+#: Endings of names of places and buildings (fixed values).
+PLACE_ENDINGS = (
+    "straße", "strasse", "weg", "platz", "allee", "gasse", "ring", "hütte", "haus", "hof", "park", "bad", "berg", "feld", "tal",
+    "schule", "kirche", "zentrum", "halle", "brücke",
+)
 
 
 def proper_nouns(c: Column) -> Column:
-    """FN36: words of five letters with a noun's ending, or of eight with a capital; distinct, in order."""
-    words = F.regexp_extract_all(c, F.lit(r"\p{L}{5,}"), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: F.lower(w).rlike(f"({'|'.join(NOUN_ENDINGS)})$") | (F.length(w) >= 8) & w.rlike(r"^\p{Lu}")))
+    """FN36: words of five letters that end like a place, or of eight with a capital inside; distinct, in order."""
+    words = F.regexp_extract_all(c, F.lit("[A-ZÄÖÜa-zäöüß]{5,}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: F.lower(w).rlike(f"({'|'.join(PLACE_ENDINGS)})$") | (F.length(w) >= 8) & w.rlike(r"^.\p{L}*\p{Lu}")))
 
 
-#: Wordings by kind of question (fixed values).
+#: Wordings by kind of question, as whole words (fixed values); ``.*`` stands for anything between.
 QUERY_KINDS = {
-    "attendance": r"(wer war|anwesend|teilgenommen|teilnehmer|wer hat)", "statement": r"(gesagt|geäußert|erklärt|gefragt|meinung)",
-    "metadata": r"(vorsitz|fraktion|mitglied|herr |frau )",
+    "attendance": ("anwesend", "teilgenommen", "teilnahme", "mitglied", "mitglieder", "fraktion", "rolle", "vorsitz", "wer ist", "wer war", "gehört .* zu", "welcher fraktion", "welche fraktion"),
+    "statement": (
+        "gesagt", "gefragt", "geäußert", "äußerte", "erklärt", "meinte", "sagte", "fragte", "wies darauf hin", "merkte an", "bat", "wortmeldung", "redete", "hat .* gesagt", "hat .* gefragt",
+    ),
+    "metadata": ("wer ist", "welcher fraktion", "welche fraktion", "mitglied", "anwesend", "teilgenommen", "rolle", "vorsitz", "gehört .* zu"),
 }
-RECENCY = r"(aktuell|neueste|zuletzt|derzeit|stand|kürzlich|momentan|heute)"
+#: Words of questions about the present; they count inside words too (fixed values).
+RECENCY_WORDS = ("aktuell", "derzeit", "stand", "noch", "geplant", "laufend", "in auftrag", "zuletzt", "letzte", "neueste", "heute", "jetzt", "aktueller")
+RECENCY = "(" + "|".join(RECENCY_WORDS) + ")"
+
+
+def whole_words(kinds: Sequence[str]) -> str:
+    """A pattern for any of some wordings as whole words, umlauts counted as letters."""
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(kinds) + r")($|[^\p{L}\p{N}_])"
 
 
 def query_flags(c: Column) -> Column:
-    """FN37 and FN40: what a question asks for; recency words count inside words too."""
+    """FN37 and FN40: what a question asks for."""
+    low = F.lower(c)
+    return F.struct(*[low.rlike(whole_words(words)).alias(k) for k, words in QUERY_KINDS.items()], low.rlike(RECENCY).alias("recency"))
+
+
+#: Aliases of factions in questions (fixed values); an engine for another council gives its own.
+FACTION_ALIASES = {
+    "grüne": ("grünen", "bündnis", "grüne", "gruene"), "cdu": ("cdu",), "spd": ("spd",), "fdp": ("fdp",), "linke": ("linke", "linken", "pds", "dkp"), "afd": ("afd",),
+    "fw": ("ebb", "freie wähler", "fw"), "volt": ("volt", "partei", "gruppe volt & die partei"),
+}
+#: Capitalised words that are no person's name (fixed values).
+NO_NAMES = (
+    "wer was wie wann wo welche welcher welches wurde werden worden haben hatte hat sein war ist sind waren wird für der die das und oder aber auch noch nicht nur alle schon sitzung protokoll "
+    "bezirksvertretung fraktion mitglied jahr jahre zuletzt seit nach über unter beim tätig dabei grünen linke partei gruppe gesagt gefragt erklärt meinte sagte fragte"
+).split()
+
+
+def detect_faction(c: Column, aliases: Mapping[str, Sequence[str]] = FACTION_ALIASES) -> Column:
+    """FN39: the first faction of which a question holds an alias, also inside words; else null."""
     low = F.lower(c)
-    return F.struct(*[low.rlike(p).alias(k) for k, p in QUERY_KINDS.items()], low.rlike(RECENCY).alias("recency"))
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words]), F.lit(key)) for key, words in aliases.items()])
+
+
+def detect_person(c: Column, aliases: Mapping[str, Sequence[str]] = FACTION_ALIASES) -> Column:
+    """FN39: the surname that a question names, else null.
+
+    After ``Herr`` or ``Frau`` the last of the capitalised words that is no title;
+    otherwise the last capitalised word of four letters, not the question's first, that
+    is neither in ``NO_NAMES`` nor an alias.
+    """
+    called = F.split(F.regexp_extract(c, r"(?:Herr|Frau)\s+((?:[A-ZÄÖÜ][a-zäöüß-]+\.?\s+)*[A-ZÄÖÜ][a-zäöüß-]+)", 1), r"\s+")
+    titled = F.filter(called, lambda w: (w != "") & ~w.rlike(r"^(Dr|Prof|Dipl|Med)\.?$"))
+    other = [*NO_NAMES, *(w.lower() for words in aliases.values() for w in words)]
+    rest = F.slice(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), 2, 1 << 20)
+    words = F.filter(F.transform(rest, lambda w: F.regexp_replace(w, "[^a-zA-ZäöüÄÖÜß-]", "")), lambda w: (F.length(w) >= 4) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*other))
+    return F.coalesce(F.get(titled, F.size(titled) - 1), F.get(words, F.size(words) - 1))
 
 
 def query_signals(c: Column) -> Column:
-    """FN38: agenda key, ISO date, paper number in a question; null where absent."""
+    """FN38: agenda key, ISO date, paper number in a question (null where absent), and whether it spans years."""
     date = r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b"
     d, m, y = (F.regexp_extract(c, date, i) for i in (1, 2, 3))
     return F.struct(
         F.nullif(F.regexp_extract(c, r"(?i)\btop\s*(\d{1,3}(?:\.\d{1,3})?\.?[a-z]?)\b", 1), F.lit("")).alias("top_key"),
         F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).alias("iso_date"),
         F.nullif(F.regexp_extract(c, r"\b(\d{4}/\d{4}(?:/\d{1,2})?)\b", 1), F.lit("")).alias("paper"),
+        F.coalesce(F.lower(c).rlike(MULTI_DOC), F.lit(False)).alias("multi_doc"),
     )
 
 
+#: Wordings of questions over several years (fixed values).
+MULTI_DOC = r"entwickelt|verändert|über die jahre|im laufe|seit \d{4}"
+
+
 def linear_recency(date: Column, as_of: str, days: int = 365) -> Column:
     """FN41: 1 for today and later, falling to 0 after ``days``; 0 without a date."""
     age = F.datediff(F.lit(as_of).cast("date"), date)
@@ -188,11 +256,21 @@ def linear_recency(date: Column, as_of: str, days: int = 365) -> Column:
     return F.when(date.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age / F.lit(float(days)))))
 
 
+#: Endings of nouns (fixed values).
+NOUN_ENDINGS = ("ung", "heit", "keit", "schaft", "ität", "tion", "sion", "nis", "tum", "chen", "lein")
+#: Words that are no topic of a question (fixed values).
+NO_TOPICS = (
+    "der die das den dem des ein eine einer einem einen eines und oder aber auch noch nicht nur schon ist sind war waren wird werden worden hat haben hatte hatten "
+    "für von zu zur zum in im an am auf über unter bei mit nach vor ohne um wer was wie wann wo warum welche welcher welches ich du er sie es wir ihr mich dich mir dir ihm uns euch ihnen "
+    "als wenn weil dass ob alle alles einige manche viele wenige sehr mehr weniger etwa circa "
+    "ratsprotokoll protokoll protokolle sitzung sitzungen ausschuss bezirksvertretung gremium gremien stadt essen beschluss beschlüsse jahr jahre zuletzt seit dabei dazu"
+).split()
+
+
 def content_terms(c: Column, most: int = 3) -> Column:
-    """FN46: up to ``most`` telling words of a question: capital, noun ending or eight letters."""
-    words = F.regexp_extract_all(c, F.lit(r"\p{L}{5,}"), F.lit(0))
-    stop = [F.lit(w) for w in "welche welcher welches wurde wurden haben bitte zwischen gegen durch wieder diese dieser unter".split()]
-    kept = F.filter(words, lambda w: ~F.lower(w).isin(*stop) & (w.rlike(r"^\p{Lu}") | F.lower(w).rlike(f"({'|'.join(NOUN_ENDINGS)})$") | (F.length(w) >= 8)))
+    """FN46: up to ``most`` telling words of a question, in lower case: of five letters, with a capital, a noun's ending or eight letters."""
+    words = F.regexp_extract_all(c, F.lit("[A-Za-zÄÖÜäöüß-]{5,}"), F.lit(0))
+    kept = F.filter(words, lambda w: ~F.lower(w).isin(*NO_TOPICS) & (w.rlike(r"^\p{Lu}") | F.lower(w).rlike(f"({'|'.join(NOUN_ENDINGS)})$") | (F.length(w) >= 8)))
     return F.slice(F.array_distinct(F.transform(kept, F.lower)), 1, most)
 
 
@@ -203,7 +281,12 @@ def clean_variants(term: Column, variants: Column, most: int = 5) -> Column:
 
 
 #: Wordings of attempts to override instructions (fixed values).
-INJECTIONS = ("ignore previous", "ignore all", "ignoriere alle", "ignoriere die", "vergiss alle", "system prompt", "systemprompt", "jailbreak", "developer mode", "act as", "pretend to be", "du bist jetzt")
+INJECTIONS = (
+    "vergiss", "verhalte dich", "du bist jetzt", "tu so als", "rollenspiel", "überschreibe", "ersetze deine rolle", "ignoriere",
+    "forget", "you are now", "roleplay", "pretend", "act as", "ignore previous", "disregard", "override", "jailbreak", "bypass", "break character", "simulate",
+    "zeig deinen prompt", "zeige deinen system", "reveal your prompt", "show your instructions", "print your system",
+    "base64", "<?php", "<script", "javascript:", "eval(",
+)
 
 
 def injection(c: Column) -> Column:

@@ -13,9 +13,17 @@ def latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """SRC18: new rows in place of old ones of the same key; the last new row of a key stands."""
-    fresh = new.dropDuplicates(list(keys))
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """SRC18: new rows in place of old ones of the same key; of several new ones the last by ``order`` stands.
+
+    Without ``order`` the keys of ``new`` must be unique; a repeated one raises an error
+    when the result is read.
+    """
+    if order:
+        fresh = latest(new, keys, *order)
+    else:
+        n = F.count("*").over(Window.partitionBy(*keys))
+        fresh = new.withColumn("_n", F.when(n > 1, F.raise_error(F.lit("several new rows of one key: give an order"))).otherwise(n)).where("_n is not null").drop("_n")
     return old.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
 
 

@@ -93,11 +93,43 @@ def cp10_search(spark: SparkSession, sf: str) -> DataFrame:
     return P.search(_query(segments, gremium_key="rat", year_from=2010, year_to=2024), sound, documents, agenda, attendance, lexemes=LEXEMES, top_key="3", person="brook", attendance_question=True)
 
 
+def cp7_attendance_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """Attendance rows among the hits: in front for questions about attendance, else behind, with a boost of their documents."""
+    _, documents, _, attendance = _tables(spark, sf)
+    fused = ag15_fusion(spark, sf).join(table(spark, sf, "segments").select("id", "document_id"), "id")
+    found = P.structured(attendance, P.filtered_documents(documents, P.Query(TEXT)), person="brook")
+    parts = [P.merge_structured(fused, found, leads).select(F.lit(leads).alias("leads"), "source", "id", F.round("rrf_score", 9).alias("rrf_score")) for leads in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+def cp8_clarify(spark: SparkSession, sf: str) -> DataFrame:
+    """A question about a person of several bodies is answered by a question."""
+    segments, documents, agenda, attendance = _tables(spark, sf)
+    return P.ask(P.Query("Wer war Frau Reuterbrook und welcher Fraktion gehört sie an?"), segments, documents, agenda, attendance).select("source", "clarify")
+
+
+def cp9_focus(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of the body of the first attendance row."""
+    _, documents, _, attendance = _tables(spark, sf)
+    docs = P.filtered_documents(documents, P.Query(TEXT))
+    fused = ag15_fusion(spark, sf).join(table(spark, sf, "segments").select("id", "document_id"), "id").join(docs.select("document_id", "gremium_key", "meeting_date"), "document_id")
+    merged = P.merge_structured(fused, P.structured(attendance, docs, person="brook"), True)
+    first = merged.orderBy(F.desc("rrf_score"), F.desc_nulls_first("meeting_date"), "id").select("source", "gremium_key").first()
+    return P.focus(merged, first["source"] == "attendance", first["gremium_key"], False).select("source", "id", "gremium_key")
+
+
+def cp10_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval from the bare question."""
+    segments, documents, agenda, attendance = _tables(spark, sf)
+    return P.ask(P.Query("Was ist der aktuelle Stand der Turnhalle?", vectors=(_vector(segments),)), segments, documents, agenda, attendance, synonyms={"Turnhalle": ["Sporthalle"]})
+
+
 def jn5_enriched(spark: SparkSession, sf: str) -> DataFrame:
     segments, documents, agenda, attendance = _tables(spark, sf)
     hits = cp10_retrieve(spark, sf)
     full = P.enrich(hits, agenda, attendance)
-    return full.select("id", F.coalesce(F.size("agenda_full"), F.lit(0)).alias("n_agenda"), F.coalesce(F.size("attendance_full"), F.lit(0)).alias("n_attendance"))
+    listed = lambda c, *names: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("/", *[F.coalesce(x[n], F.lit("-")) for n in names])), "; "), F.lit(""))
+    return full.select("id", listed("agenda_full", "key", "title", "paper").alias("agenda"), listed("attendance_full", "name", "faction", "role").alias("attendance"))
 
 
 _ITEMS = "items AS (SELECT id, document_id, top_key, start_page, text_full AS text, embedding FROM segments WHERE length(trim(coalesce(text_full, ''), ' ')) >= 20)"
@@ -149,6 +181,17 @@ SQL = {
     "ag15_fusion": _ALL + ", " + _RRF.format(more="") + " SELECT 'segment' AS source, id, round(rrf, 9) AS rrf_score FROM fused",
     "cp10_retrieve": _RETRIEVE + " SELECT * FROM best",
     "cp10_retrieve_filtered": _FILTER + ", " + _RRF.format(more="") + ", " + _FINAL.format(back="false", key="CASE WHEN s.top_key = '3' THEN 0.05 ELSE 0 END", named="CASE WHEN s.document_id IN (SELECT document_id FROM named) THEN 0.08 ELSE 0 END", recency="0.05") + " SELECT * FROM best",
-    "jn5_enriched": _RETRIEVE + " SELECT b.id, (SELECT count(*) FROM document_agenda_items a WHERE a.document_id = b.document_id)::INT AS n_agenda, (SELECT count(*) FROM document_attendance_rows a WHERE a.document_id = b.document_id)::INT AS n_attendance FROM best b",
+    "jn5_enriched": _RETRIEVE + """ SELECT b.id,
+        coalesce((SELECT string_agg(coalesce(top_key_curated, '-') || '/' || coalesce(title_curated, '-') || '/' || coalesce(drucksache_curated, '-'), '; ' ORDER BY row_index, a.id) FROM document_agenda_items a WHERE a.document_id = b.document_id), '') AS agenda,
+        coalesce((SELECT string_agg(coalesce(last_name_extracted, '-') || '/' || coalesce(faction_extracted, '-') || '/' || coalesce(role_extracted, '-'), '; ' ORDER BY row_index, a.id) FROM document_attendance_rows a WHERE a.document_id = b.document_id), '') AS attendance FROM best b""",
+    "cp7_attendance_mode": _ALL + ", " + _RRF.format(more="") + f""", {_ATT}, f AS (SELECT * FROM att WHERE contains(lower(person), 'brook') ORDER BY meeting_date DESC NULLS FIRST, id LIMIT 20)
+        SELECT true AS leads, 'segment' AS source, id, round(rrf, 9) AS rrf_score FROM fused UNION ALL SELECT true, 'attendance', id, 1.0 FROM f
+        UNION ALL SELECT false, 'segment', u.id, round(rrf + CASE WHEN s.document_id IN (SELECT document_id FROM f) THEN 0.08 ELSE 0 END, 9) FROM fused u JOIN segments s USING (id) UNION ALL SELECT false, 'attendance', id, 0.1 FROM f""",
+    "cp8_clarify": f"""WITH {_DOCS.format(where='')}, {_ATT}, f AS (SELECT * FROM att WHERE contains(lower(person), 'reuterbrook') ORDER BY meeting_date DESC NULLS FIRST, id LIMIT 20),
+        b AS (SELECT gremium_key, coalesce(max(gremium_name), 'unbekannt') AS name FROM raw_documents WHERE gremium_key IN (SELECT gremium_key FROM f) GROUP BY 1)
+        SELECT 'clarify' AS source, string_agg(name, '; ' ORDER BY name) AS clarify FROM b HAVING count(*) > 1""",
+    "cp9_focus": _ALL + ", " + _RRF.format(more="") + f""", {_ATT}, f AS (SELECT * FROM att WHERE contains(lower(person), 'brook') ORDER BY meeting_date DESC NULLS FIRST, id LIMIT 20),
+        m AS (SELECT 'segment' AS source, u.id, d.gremium_key FROM fused u JOIN segments s USING (id) JOIN docs d ON d.did = s.document_id UNION ALL SELECT 'attendance', id, gremium_key FROM f)
+        SELECT source, id, gremium_key FROM m WHERE gremium_key = (SELECT gremium_key FROM f ORDER BY meeting_date DESC NULLS FIRST, id LIMIT 1)""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "cp10_search")}
+QUERIES = {name: globals()[name] for name in (*SQL, "cp10_search", "cp10_ask")}

@@ -88,8 +88,9 @@ def jn4_attendance_star(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "document_attendance_rows").join(docs, "document_id").groupBy("gremium_key", F.year("meeting_date").alias("year")).agg(F.count("*").alias("n"), F.countDistinct("last_name_extracted").alias("n_names"))
 
 
-def jn6_documents_without_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "raw_documents").join(table(spark, sf, "segments").select(F.col("document_id").alias("id")), "id", "left_anti").select("id")
+def jn6_documents_without_annex(spark: SparkSession, sf: str) -> DataFrame:
+    annex = table(spark, sf, "segments").where("seg_type = 'anhang'").select(F.col("document_id").alias("id"))
+    return table(spark, sf, "raw_documents").join(annex, "id", "left_anti").select("id")
 
 
 def jn7_documents_with_agenda(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +269,7 @@ SQL = {
     "src24_registration": "SELECT id, row_number() OVER (PARTITION BY gremium_key, file_hash_sha256 ORDER BY id) > 1 AS is_duplicate FROM raw_documents",
     "jn2_agenda_fanout": "SELECT s.id, a.title_curated FROM segments s LEFT JOIN document_agenda_items a ON a.document_id = s.document_id AND a.top_key_curated = s.top_key",
     "jn4_attendance_star": "SELECT gremium_key, year(meeting_date)::INT AS year, count(*) AS n, count(DISTINCT last_name_extracted) AS n_names FROM document_attendance_rows a JOIN raw_documents d ON d.id = a.document_id GROUP BY 1, 2",
-    "jn6_documents_without_segments": "SELECT id FROM raw_documents d WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.document_id = d.id)",
+    "jn6_documents_without_annex": "SELECT id FROM raw_documents d WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.document_id = d.id AND s.seg_type = 'anhang')",
     "jn7_documents_with_agenda": "SELECT id FROM raw_documents d WHERE EXISTS (SELECT 1 FROM document_agenda_items a WHERE a.document_id = d.id)",
     "jn9_unrated": "SELECT l.id FROM chat_logs l LEFT JOIN chat_feedback f ON f.chat_log_id = l.id WHERE f.id IS NULL",
     "jn10_ratings_of_logs": "WITH f AS (SELECT chat_log_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY chat_log_id ORDER BY created_at DESC NULLS LAST, id DESC) n FROM chat_feedback) WHERE n = 1) SELECT l.id, f.rating FROM chat_logs l LEFT JOIN f ON f.chat_log_id = l.id",

@@ -7,11 +7,12 @@ partitioned by document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from minuteworks.functions import similarity as S, text as T
 from minuteworks.session import cut
@@ -55,14 +56,27 @@ class Query:
         return PROFILES.get(self.mode, PROFILES["relevant"])
 
 
-def candidates(query: Query) -> int:
-    """SO9: how many hits a channel gives: 300 for breadth, 140 for recency words or long nouns, else 40."""
-    import re
+def candidate_count(c: Column, mode: str = "relevant") -> Column:
+    """SO9: how many hits a channel gives a question: 300 for breadth, 140 for recency words or names of places, else 40."""
+    if mode == "breadth":
+        return F.lit(int(200 * PROFILES["breadth"].candidates))
+    return F.when(F.lower(c).rlike(T.RECENCY) | (F.size(T.proper_nouns(c)) > 0), 140).otherwise(40)
+
+
+def said_of(spark: SparkSession, text: str, aliases: Mapping[str, Sequence[str]]) -> Row:
+    """What a question tells by itself: flags, signals, faction, person, topics, candidates; one row, no table is read."""
+    c = F.col("question")
+    one = spark.createDataFrame([(text,)], "question string")
+    return one.select(
+        T.query_flags(c).alias("flags"), T.query_signals(c).alias("signals"), T.detect_faction(c, aliases).alias("faction"), T.detect_person(c, aliases).alias("person"),
+        T.content_terms(c).alias("terms"), T.proper_nouns(c).alias("places"), S.lexemes(c).alias("lexemes"), candidate_count(c).alias("candidates"),
+    ).first()
 
-    if query.mode == "breadth":
-        return int(200 * query.profile.candidates)
-    long_noun = re.search(r"\b[A-ZÄÖÜ]\w{7,}\b", query.text)
-    return 140 if re.search(T.RECENCY, query.text.lower()) or long_noun else 40
+
+def candidates(query: Query) -> int:
+    """SO9 of a question."""
+    one = SparkSession.active().createDataFrame([(query.text,)], "question string")
+    return one.select(candidate_count(F.col("question"), query.mode)).first()[0]
 
 
 def filtered_documents(documents: DataFrame, query: Query) -> DataFrame:
@@ -114,21 +128,24 @@ def dense_all(items: DataFrame, docs: DataFrame, vectors: Sequence[Sequence[floa
     return [dense(items, docs, v, n) for v in vectors]
 
 
-def sparse(items: DataFrame, agenda: DataFrame, docs: DataFrame, lexemes: Sequence[str], n: int) -> DataFrame:
+def sparse(items: DataFrame, agenda: DataFrame, docs: DataFrame, lexemes: Sequence[str | Sequence[str]], n: int) -> DataFrame:
     """CP3, FN44: weighted full text over item and agenda title; branch-local, then common top ``n`` (SO2).
 
-    All lexemes must occur in title or body. A repeated agenda key counts once (the
+    All lexemes must occur in title or body; of several in one place (FN47, ``OR``) any
+    one. A repeated agenda key counts once (the
     first row), so hits don't multiply.
     """
     titles = agenda.where("top_key_curated is not null").groupBy("document_id", F.col("top_key_curated").alias("top_key")).agg(F.min_by("title_curated", F.struct("row_index", "id")).alias("title"))
-    query = F.array(*[F.lit(x) for x in lexemes])
+    groups = [(x,) if isinstance(x, str) else tuple(x) for x in lexemes]
+    query = F.array(*[F.lit(x) for x in dict.fromkeys(x for group in groups for x in group)])
     found = items.join(docs, "document_id").join(titles, ["document_id", "top_key"], "left")
     # A lexeme is part of its word: most rows are ruled out before their words are taken apart.
     low = F.lower(F.concat_ws(" ", "title", "text"))
-    for lexeme in lexemes:
-        found = found.where(F.contains(low, F.lit(lexeme)))
+    for group in groups:
+        found = found.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in group]))
     found = found.withColumn("title_lex", S.lexemes(F.coalesce("title", F.lit("")))).withColumn("body_lex", S.lexemes(F.coalesce("text", F.lit(""))))
-    everywhere = F.size(F.array_except(query, F.array_union("title_lex", "body_lex"))) == 0
+    both = F.array_union("title_lex", "body_lex")
+    everywhere = reduce(lambda a, b: a & b, [F.arrays_overlap(both, F.array(*[F.lit(x) for x in group])) for group in groups], F.lit(True))
     scored = _hits(found.where(everywhere).withColumn("score", S.lexeme_rank(F.col("title_lex"), F.col("body_lex"), query)))
     best = [scored.where(F.col("source") == s).orderBy(F.desc("score"), "id").limit(n) for s in ("chunk", "segment")]
     return _ranked(reduce(DataFrame.unionByName, best).orderBy(F.desc("score"), "source_ord", "id").limit(n), F.desc("score"), F.col("source_ord"), F.col("id"))
@@ -257,7 +274,7 @@ def enrich(hits: DataFrame, agenda: DataFrame, attendance: DataFrame) -> DataFra
     return hits.join(tops, "document_id", "left").join(people, "document_id", "left")
 
 
-def channels(query: Query, docs: DataFrame, segments: DataFrame, agenda: DataFrame, chunks: DataFrame | None, lexemes: Sequence[str], current: bool, multi_doc: bool) -> DataFrame:
+def channels(query: Query, docs: DataFrame, segments: DataFrame, agenda: DataFrame, chunks: DataFrame | None, lexemes: Sequence[str | Sequence[str]], current: bool, multi_doc: bool, topic: bool = False) -> DataFrame:
     """Fused hits of all channels that the question has terms for."""
     items = segment_items(segments)
     if chunks is not None:
@@ -269,7 +286,7 @@ def channels(query: Query, docs: DataFrame, segments: DataFrame, agenda: DataFra
     if query.terms:
         lists.append((trigram(items, docs, query.terms, n), RRF["trigram"]))
     hits = fuse(lists).withColumn("is_backfill", F.lit(False))
-    if current and query.terms and not multi_doc:
+    if (current or topic) and query.terms and not multi_doc:
         hits = add_list(hits, backfill(items, docs, query.terms), RRF["backfill"])
     return hits
 
@@ -277,7 +294,9 @@ def channels(query: Query, docs: DataFrame, segments: DataFrame, agenda: DataFra
 def best_hits(hits: DataFrame, query: Query) -> DataFrame:
     """WN4, WN5: preference, caps and the best ``top_k``."""
     hits = cap_documents(prefer_segments(hits), query.profile.cap)
-    return hits.orderBy(F.desc("final_score"), "source", "id").limit(query.top_k).select("source", "id", "document_id", "top_key", "gremium_key", "meeting_date", F.round("rrf_score", 9).alias("rrf_score"), F.round("final_score", 9).alias("final_score"), "is_backfill")
+    best = hits.orderBy(F.desc("final_score"), "source", "id").limit(query.top_k)
+    # Attendance rows come first, whatever their score.
+    return best.orderBy(F.desc(F.col("source") == "attendance"), F.desc("final_score"), "source", "id").select("source", "id", "document_id", "top_key", "gremium_key", "meeting_date", F.round("rrf_score", 9).alias("rrf_score"), F.round("final_score", 9).alias("final_score"), "is_backfill")
 
 
 def retrieve(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame | None = None, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False) -> DataFrame:
@@ -303,7 +322,7 @@ def merge_structured(hits: DataFrame, found: DataFrame, attendance_question: boo
     return hits.unionByName(rows, allowMissingColumns=True)
 
 
-def search(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False, factions: Sequence[str] = (), person: str | None = None, attendance_question: bool = False) -> DataFrame:
+def search(query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame, chunks: DataFrame | None = None, lexemes: Sequence[str] = (), current: bool = False, top_key: str | None = None, iso_date: str | None = None, multi_doc: bool = False, factions: Sequence[str] = (), person: str | None = None, attendance_question: bool = False, topic: bool = False, year: int | None = None) -> DataFrame:
     """CP7 to CP10: ``retrieve`` with attendance rows among the hits.
 
     For an attendance question, rows of several bodies give a single row instead of hits,
@@ -312,10 +331,10 @@ def search(query: Query, segments: DataFrame, documents: DataFrame, agenda: Data
     there are no attendance rows.
     """
     docs = filtered_documents(documents, query)
-    hits = channels(query, docs, segments, agenda, chunks, lexemes, current, multi_doc)
+    hits = channels(query, docs, segments, agenda, chunks, lexemes, current, multi_doc, topic)
     if person or factions:
         # At most 20 rows.
-        found = cut(structured(attendance, docs, factions, person))
+        found = cut(structured(attendance, docs, factions, person, year))
         if attendance_question:
             bodies = docs.where("gremium_key is not null").groupBy("gremium_key").agg(F.coalesce(F.max("gremium_name"), F.lit("unbekannt")).alias("gremium_name"))
             options = sorted(r["gremium_name"] for r in ambiguity(found, bodies).collect())
@@ -329,6 +348,35 @@ def search(query: Query, segments: DataFrame, documents: DataFrame, agenda: Data
     return best_hits(hits, query).withColumn("clarify", F.lit(None).cast("string"))
 
 
+def ask(
+    query: Query, segments: DataFrame, documents: DataFrame, agenda: DataFrame, attendance: DataFrame, chunks: DataFrame | None = None,
+    aliases: Mapping[str, Sequence[str]] = T.FACTION_ALIASES, synonyms: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """CP10 from the bare question: all that ``search`` needs is taken from its text.
+
+    ``query`` gives text, vectors (of the question and its paraphrases), filters and
+    mode. Signals, recency, topics, faction and person come from ``said_of``; terms of
+    ``synonyms`` found in the question widen full text (any variant) and trigrams.
+    Attendance is looked up where the question asks for a person's place or a faction;
+    it leads where the question is about attendance and not about what was said.
+    """
+    said = said_of(segments.sparkSession, query.text, aliases)
+    known = {t.lower(): tuple(v.lower() for v in vs) for t, vs in (synonyms or {}).items() if t.lower() in query.text.lower()}
+    variants = [v for vs in known.values() for v in vs]
+    stems = {r["x"]: list(r["lex"]) for r in segments.sparkSession.createDataFrame([(x,) for x in (*known, *variants)] or [("",)], "x string").select("x", S.lexemes(F.col("x")).alias("lex")).collect()}
+    also = {lex: [y for v in vs for y in stems[v][:1]] for t, vs in known.items() for lex in stems[t][:1]}
+    lexemes = [(x, *also[x]) if also.get(x) else x for x in dict.fromkeys(said["lexemes"])]
+    terms = tuple(dict.fromkeys([*(p.lower() for p in said["places"]), *said["terms"], *variants]))
+    flags, signals = said["flags"], said["signals"]
+    wanted = flags["metadata"] or said["faction"] is not None
+    year = re.search(r"\b(20\d{2}|199\d)\b", query.text)
+    return search(
+        replace(query, terms=terms), segments, documents, agenda, attendance, chunks, lexemes, current=flags["recency"], top_key=signals["top_key"], iso_date=signals["iso_date"], multi_doc=signals["multi_doc"],
+        factions=tuple(aliases[said["faction"]]) if wanted and said["faction"] else (), person=said["person"] if wanted else None,
+        attendance_question=bool(flags["attendance"] and not flags["statement"]), topic=bool(said["places"] or variants), year=int(year[0]) if year and wanted else None,
+    )
+
+
 def dedupe_sources(hits: DataFrame, faithful: bool = False) -> DataFrame:
     """WN6: the first of the hits that cite one place; ``faithful`` takes equal dates and keys of two bodies for one."""
     keys = ["meeting_date", "top_key"] if faithful else ["document_id", "meeting_date", "top_key"]

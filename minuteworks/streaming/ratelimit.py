@@ -26,7 +26,9 @@ def stream_counts(requests: DataFrame, seconds: int = 3600, limit: int = 15) ->
 def decisions(requests: DataFrame, seconds: int = 3600, limit: int = 15) -> DataFrame:
     """Whether each request of a stream is let through: the running number in its window.
 
-    State: window and count of each address; it expires two windows after the last request.
+    State: window and count of each address, and of the window before; it expires two
+    windows after the last request. A late request counts in its own window; one older
+    than the window before is let through by itself.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,19 +36,29 @@ def decisions(requests: DataFrame, seconds: int = 3600, limit: int = 15) -> Data
         if state.hasTimedOut:
             state.remove()
             return
-        window, n = state.get if state.exists else (-1, 0)
+        window, n, earlier = state.get if state.exists else (-1, 0, 0)
         rows = pd.concat(parts).sort_values("ts", kind="stable")
         out = []
         for ts in rows["ts"]:
             at = int(ts.timestamp()) // seconds * seconds
-            n = n + 1 if at == window else (1 if at > window else n + 1)
-            window = max(window, at)
-            out.append((key[0], ts, n, n <= limit))
-        state.update((window, n))
+            if at > window:
+                earlier = n if at == window + seconds else 0
+                window, n = at, 1
+                count = n
+            elif at == window:
+                n += 1
+                count = n
+            elif at == window - seconds:
+                earlier += 1
+                count = earlier
+            else:
+                count = 1
+            out.append((key[0], ts, count, count <= limit))
+        state.update((window, n, earlier))
         state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["ip_hash", "ts", "n", "allowed"])
 
-    return requests.groupBy("ip_hash").applyInPandasWithState(decide, "ip_hash string, ts timestamp, n long, allowed boolean", "window long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("ip_hash").applyInPandasWithState(decide, "ip_hash string, ts timestamp, n long, allowed boolean", "window long, n long, earlier long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_files(spark, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
