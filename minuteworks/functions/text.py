@@ -302,10 +302,14 @@ def nonsense(c: Column) -> Column:
     )
 
 
+#: Beginnings and words of questions that point back (fixed values).
+POINTS_BACK = (("und", "aber", "oder", "was ist mit", "wie sieht es"), ("das", "dies", "dazu", "davon", "darüber", "er", "sie", "dort"))
+
+
 def follow_up(c: Column) -> Column:
-    """FN52: a short question, or one that points back."""
+    """FN52: a question of at most eight words, or one that points back."""
     t = F.trim(F.lower(c))
-    return (F.size(tokens(t)) <= 8) | t.rlike(r"^(und|aber|oder|was ist mit|wie sieht es)\b") | t.rlike(r"\b(das|dies|dazu|davon|darüber|er|sie|dort)\b")
+    return (F.size(tokens(t)) <= 8) | t.rlike("^(" + "|".join(POINTS_BACK[0]) + r")($|[^\p{L}\p{N}_])") | t.rlike(whole_words(POINTS_BACK[1]))
 
 
 def safe_filename(c: Column) -> Column:

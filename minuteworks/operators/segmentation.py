@@ -225,7 +225,7 @@ def segment(pages: list[str], agenda: list[tuple[str, str]]) -> list[dict]:
     closing = None
     if found and (m := re.compile(r"(?m)^\s*(?:Die Sitzung (?:wird|wurde) (?:um .{0,20})?geschlossen|Ende der Sitzung|Schluss der Sitzung)").search(text, found[-1][0])):
         closing = m.start()
-    for (a, i), nxt in zip(found, [*found[1:], None], strict=True):
+    for (a, i), nxt in zip(found, [*found[1:], None][: len(found)], strict=True):
         b = nxt[0] if nxt else (closing if closing is not None else len(text))
         c = path[i]
         sure = 0.99 if c.method in ("key_title", "title_heading") and c.score >= 120 else 0.95
@@ -276,3 +276,39 @@ def anchor_spans(hints: DataFrame, pages: DataFrame, window: int = 1) -> DataFra
     hit = near.withColumn("at", F.expr("instr(page_text, substring(trim(anchor), 1, 120))"))
     best = hit.where("at > 0").groupBy("document_id", "ord").agg(F.min_by(F.struct("p", "at"), F.struct(F.abs(F.col("p") - F.col("page_no")), "p")).alias("b"))
     return hints.join(best, ["document_id", "ord"], "left").select(*hints.columns, F.col("b.p").alias("page_found"), (F.col("b.at") - 1).alias("char"))
+
+
+def hinted_spans(agenda: DataFrame, hints: DataFrame, pages: DataFrame) -> DataFrame:
+    """CP14: segments from hints: each item from its anchor's place to the next one's; preface and closing around them.
+
+    Rows as those of ``segment_documents``. Hints are aligned to the agenda first; an
+    item whose anchor isn't found begins with its page, one without hint has no span.
+    The closing is always given, empty where the last item takes all.
+    """
+    from pyspark.sql import Window
+
+    from minuteworks.functions import text as T
+    from minuteworks.sources.imports import align_hints
+
+    first = hints.groupBy("document_id", "top_key").agg(F.min_by("anchor", "ord").alias("anchor"))
+    aligned = align_hints(agenda, hints).join(first, ["document_id", "top_key"], "left").join(agenda.select("document_id", "row_index", "title"), ["document_id", "row_index"])
+    placed = anchor_spans(aligned.withColumnRenamed("row_index", "ord"), pages)
+    total = pages.groupBy("document_id").agg(F.max("page_no").alias("last_page"), F.max_by(F.length("page_text"), "page_no").alias("last_size"))
+    at = placed.join(total, "document_id").withColumn("begin", F.when(F.coalesce("page_found", "page_no").isNotNull(), F.struct(F.coalesce("page_found", "page_no").cast("int").alias("p"), F.coalesce("char", F.lit(0)).cast("int").alias("c"))))
+    order = Window.partitionBy("document_id").orderBy("ord")
+    # Places never fall: an anchor found before its predecessor begins where that does.
+    at = at.withColumn("begin", F.when(F.col("begin").isNotNull(), F.max("begin").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    at = at.withColumn("after", F.first("begin", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    end = F.coalesce("after", F.struct(F.col("last_page").cast("int").alias("p"), F.coalesce("last_size", F.lit(0)).cast("int").alias("c")))
+    tops = at.withColumn("finish", F.when(F.col("begin").isNotNull(), end)).select("document_id", F.lit("top").alias("seg_type"), "top_key", "title", "begin", "finish", F.when(F.col("begin").isNull(), "missing").when(F.col("page_found").isNull(), "hint_page").otherwise("hint_anchor").alias("match_method"))
+    ends = at.groupBy("document_id").agg(F.min("begin").alias("first"), F.max(end).alias("last"))
+    zero = F.struct(F.lit(1).alias("p"), F.lit(0).alias("c"))
+    no = F.lit(None).cast("string")
+    around = [ends.where(F.col("first").isNotNull()).select("document_id", F.lit(kind).alias("seg_type"), no.alias("top_key"), no.alias("title"), a.alias("begin"), b.alias("finish"), F.lit("hint_edge").alias("match_method")) for kind, a, b in (("vorwort", zero, F.col("first")), ("nachwort", F.col("last"), F.col("last")))]
+    spans = tops.unionByName(around[0]).unionByName(around[1]).withColumn("sid", F.monotonically_increasing_id())
+    lists = pages.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("page_text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
+    text = F.when(F.col("begin").isNotNull(), T.span_text(F.col("texts"), F.col("begin.p") - 1, F.col("begin.c"), F.col("finish.p") - 1, F.col("finish.c")))
+    return spans.join(lists, "document_id").select(
+        "document_id", "seg_type", "top_key", "title", F.col("begin.p").alias("start_page"), F.col("begin.c").alias("start_char"), F.col("finish.p").alias("end_page"), F.col("finish.c").alias("end_char"),
+        "match_method", F.lit(None).cast("double").alias("match_score"), F.when(F.col("match_method") == "hint_anchor", 0.9).when(F.col("begin").isNull(), 0.0).otherwise(0.7).alias("confidence"), text.alias("text_full"),
+    )

@@ -24,8 +24,11 @@ def cp12_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn20_title_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "segments").where("title is not null and text_full is not null")
-    return rows.select("id", F.round(S.partial_ratio(F.lower("title"), F.lower(F.substring("text_full", 1, 520))), 3).alias("ratio"))
+    """The title against the 520 characters behind the first place of its first long word; rows without one have no ratio."""
+    word = F.get(T.title_words(F.col("title"), 1), F.lit(0))
+    at = F.expr("instr(lower(text_full), word)")
+    rows = table(spark, sf, "segments").where("title is not null and text_full is not null").withColumn("word", word).withColumn("at", at).where("at > 0")
+    return rows.select("id", F.round(S.partial_ratio(F.lower("title"), F.lower(F.expr("substring(text_full, at, 520)"))), 3).alias("ratio"))
 
 
 def fn51_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,5 +43,9 @@ def cp22_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return embed_texts(table(spark, sf, "segments"), "id", "text_full", HashedTrigrams).select("id", F.size("embedding").alias("dim"), "error")
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "fn52_follow_ups": """SELECT len(list_filter(string_split_regex(trim(lower(query)), '\\s+'), lambda w: w <> '')) <= 8
+        OR regexp_matches(trim(lower(query)), '^(und|aber|oder|was ist mit|wie sieht es)($|[^\\p{L}\\p{N}_])')
+        OR regexp_matches(trim(lower(query)), '(^|[^\\p{L}\\p{N}_])(das|dies|dazu|davon|darüber|er|sie|dort)($|[^\\p{L}\\p{N}_])') AS follow_up, count(*) AS n FROM chat_logs GROUP BY 1""",
+}
 QUERIES = {f.__name__: f for f in (cp12_segments, fn20_title_ratios, fn51_gate, fn52_follow_ups, cp22_embeddings)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from minuteworks.operators import analytics as A, chunking, relational as R, validation as V
+from minuteworks.operators import analytics as A, chunking, relational as R, validation as V, layout as L, validator as VR
 from minuteworks.plans import queries_text as QT
 from minuteworks.session import table
 from minuteworks.sources.packages import merge_pages
@@ -220,6 +220,34 @@ def cp16_scores(spark: SparkSession, sf: str) -> DataFrame:
     return V.scores(table(spark, sf, "segments"), table(spark, sf, "raw_documents"))
 
 
+def _segment_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Segment texts as the pages of their documents."""
+    return table(spark, sf, "segments").select("document_id", F.col("id").alias("page_no"), F.col("text_full").alias("page_text"))
+
+
+def fn31_content_start(spark: SparkSession, sf: str) -> DataFrame:
+    return L.content_start(_segment_pages(spark, sf))
+
+
+def fn32_slices(spark: SparkSession, sf: str) -> DataFrame:
+    found = L.slice_ends(_segment_pages(spark, sf))
+    return found.withColumn("kw_hits", F.array_join("kw_hits", ","))
+
+
+def ag21_footers(spark: SparkSession, sf: str) -> DataFrame:
+    """Appendix pages by words or by where pages cease to name the administration."""
+    return L.footer_transition(_segment_pages(spark, sf), F.col("page_text").contains("Verwaltung"), window=2, before=0.5, after=0.5)
+
+
+def cp16_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of all documents, their segments laid end to end as pages."""
+    order = Window.partitionBy("document_id").orderBy("start_page", "id")
+    kept = table(spark, sf, "segments").where("start_page is not null").withColumn("page", F.row_number().over(order))
+    pages = kept.select("document_id", F.col("page").alias("page_no"), F.col("text_full").alias("page_text"))
+    placed = kept.withColumns({"start_page": F.col("page"), "end_page": F.col("page"), "start_char": F.lit(0), "end_char": F.length(F.coalesce("text_full", F.lit("")))})
+    return VR.validate(placed, table(spark, sf, "raw_documents"), pages)[1]
+
+
 def ss1_request_windows(spark: SparkSession, sf: str) -> DataFrame:
     from minuteworks.streaming.ratelimit import windowed_counts
 
@@ -304,6 +332,24 @@ SQL = {
         r AS (SELECT c.*, coalesce(n, 0) AS n_issues, coalesce(sev, 0) AS n_severe, 100.0::DOUBLE - coalesce(penalty, 0) - CASE WHEN covered < 1 THEN 15 + greatest(0.0, (0.90 - covered) * 60) ELSE 0 END AS raw FROM c LEFT JOIN p USING (document_id))
         SELECT document_id, n_tops, n_issues, n_severe, round(covered, 4) AS covered, round(greatest(0.0, least(100.0, raw)), 4) AS score,
                CASE WHEN n_severe > 0 THEN 'broken' WHEN raw >= 90 AND covered >= 0.85 THEN 'accept' ELSE 'need_spans' END AS recommendation FROM r""",
+    "fn31_content_start": """WITH p AS (SELECT document_id, id AS page_no, coalesce(text_full, '') AS t FROM segments),
+        f AS (SELECT document_id, coalesce(min(page_no) FILTER (WHERE regexp_matches(t, '(?m)^\\s*[-–—]\\s*\\d{1,3}\\s*[-–—]\\s*$')), min(page_no) FILTER (WHERE regexp_matches(t, '(?i)\\bseite\\s+\\d{1,3}\\b')), 1)::INT AS start_page FROM p GROUP BY 1)
+        SELECT document_id, start_page, (SELECT min(page_no)::INT FROM p WHERE p.document_id = f.document_id AND page_no > start_page AND regexp_matches(t, '(?mi)^\\s*(?:anlage|anlagen|anhang|appendix)\\b')) AS appendix_page FROM f""",
+    "fn32_slices": """WITH p AS (SELECT document_id, id AS page_no, coalesce(text_full, '') AS t FROM segments),
+        a AS (SELECT document_id, max(page_no)::INT AS pages_total, (min(page_no) FILTER (WHERE regexp_matches(lower(t), '\\btagesordnung\\b')))::INT AS agenda_page FROM p GROUP BY 1),
+        l AS (SELECT document_id, page_no, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM p JOIN a USING (document_id) WHERE page_no > agenda_page),
+        h AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '^\\s*1\\s*[\\.\\)]\\s+\\S+') OR regexp_matches(lower(x), '^\\s*top\\s*1\\b')), true)::INT AS line FROM l),
+        t AS (SELECT document_id, min(page_no)::INT AS top1_page, arg_min(line, page_no) AS top1_line, arg_min(lower(array_to_string(list_slice(ls, line, line + 34), chr(10))), page_no) AS near FROM h WHERE line > 0 GROUP BY 1)
+        SELECT a.document_id, pages_total, agenda_page, top1_page, top1_line,
+               concat_ws(',', CASE WHEN contains(near, 'berichterstatter') THEN 'berichterstatter' END, CASE WHEN contains(near, 'beschluss') THEN 'beschluss' END, CASE WHEN contains(near, 'vorlage') THEN 'vorlage' END, CASE WHEN contains(near, 'öffentlich') THEN 'öffentlich' END) AS kw_hits,
+               CASE WHEN agenda_page IS NULL THEN pages_total WHEN top1_page IS NULL THEN agenda_page WHEN top1_line > 1 THEN top1_page ELSE top1_page - 1 END AS slice_end, coalesce(top1_line > 1, false) AS contaminated
+        FROM a LEFT JOIN t USING (document_id)""",
+    "ag21_footers": """WITH p AS (SELECT document_id, id AS page_no, coalesce(text_full, '') AS t, coalesce(contains(text_full, 'Verwaltung'), false)::INT AS has, list_slice(list_filter(string_split(coalesce(text_full, ''), chr(10)), lambda x: trim(x, ' ') <> ''), 1, 3) AS head FROM segments),
+        w AS (SELECT *, row_number() OVER o AS pos, count(*) OVER (PARTITION BY document_id) AS pages, avg(has) OVER (PARTITION BY document_id ORDER BY page_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS pre,
+               avg(has) OVER (PARTITION BY document_id ORDER BY page_no ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS post, sum(length(t)) OVER (PARTITION BY document_id ORDER BY page_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead,
+               len(list_filter(head, lambda x: regexp_matches(x, '(?i)^\\s*(?:anlage|anhang|appendix)\\b'))) > 0 AS headed FROM p WINDOW o AS (PARTITION BY document_id ORDER BY page_no)),
+        m AS (SELECT document_id, min(page_no) FILTER (WHERE headed) AS word, min(page_no) FILTER (WHERE pos > 2 AND pos < pages - 2 AND pages >= 4 AND pre >= 0.5 AND post <= 0.5 AND ahead >= 400) AS foot FROM w WHERE pos > 1 GROUP BY 1)
+        SELECT document_id, coalesce(word, foot) AS appendix_page FROM m WHERE coalesce(word, foot) IS NOT NULL""",
     "ss1_request_windows": "SELECT user_id::VARCHAR AS ip_hash, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, count(*) <= 15 AS allowed FROM events GROUP BY 1, 2",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in (*SQL, "cp16_validation")}

@@ -17,7 +17,7 @@ def test_core_and_dates(spark):
 def test_child_rows(spark):
     agenda = spark.createDataFrame([(1, [("9.a", "Bericht"), ("10", None)]), (2, [])], "document_id long, agenda array<struct<key:string,title:string>>")
     assert [(r["row_index"], r["top_norm"], r["title_curated"]) for r in I.agenda_rows(agenda).orderBy("row_index").collect()] == [(0, "9.A", "Bericht"), (1, "10", None)]
-    people = spark.createDataFrame([(1, [("Ratsmitglied", "Frau", None, "Müller-Lüde", "BML")])], "document_id long, attendance array<struct<role:string,salutation:string,title:string,last_name:string,faction:string>>")
+    people = spark.createDataFrame([(1, [("Mitglied des Rates", "Frau", None, "Müller-Lüde", "BML")])], "document_id long, attendance array<struct<role:string,salutation:string,title:string,last_name:string,faction:string>>")
     row = I.attendance_rows(people).first()
     assert (row["role_curated"], row["name_norm"], len(row["row_hash"])) == ("rat", "müllerlüde", 64)
     seg = spark.createDataFrame([(1, "a\u0000b", "top"), (1, "", "top"), (1, None, "top")], "document_id long, text_full string, type string")

@@ -80,3 +80,67 @@ def test_trigrams_and_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0]), (None, [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()]
     assert round(got[0], 6) == 0.707107 and got[1:] == [None, None, None]
+
+
+@pytest.mark.parametrize("key,norm", [("13A", "13A"), ("13.a", "13A"), ("10.1", "10.1"), ("10 . 01", "10.1"), ("13.A.1", "13"), ("2.3.4", "2.3.4"), ("7 Haushalt", "7"), ("x", "0"), ("", "0"), (None, None)])
+def test_review_keys(spark, key, norm):
+    assert column(spark, [key], lambda c: T.review_key(c)["norm"]) == [norm]
+
+
+def test_golden_roles_places_and_gates(spark):
+    assert column(spark, ["Mitglied", "Rat", "schriftfuehrer", "fehlt: entschuldigt", "Unentschuldigt", "Ratsherr"], T.role) == ["mitglied", "rat", "schriftfuehrung", "fehlt_entschuldigt", "fehlt_unentschuldigt", "sonstige"]
+    assert column(spark, ["Der Radweg am Stadtpark", "Haushalt und Finanzierung", "KulturHaushaltung"], T.proper_nouns) == [["Radweg", "Stadtpark"], [], ["KulturHaushaltung"]]
+    assert column(spark, ["Bitte forget it", "disregard that", "<script>", "bypass", "Ich vergesse nichts"], T.injection) == [True] * 4 + [False]
+    flags = column(spark, ["Was ist noch geplant?", "Wer ist Frau Meier?", "Was hat er gesagt?", "Mitgliederversammlung"], T.query_flags)
+    assert [f["recency"] for f in flags] == [True, False, False, False] and [f["metadata"] for f in flags] == [False, True, False, False] and flags[2]["statement"]
+
+
+def test_candidates_of_questions(spark):
+    from minuteworks.plans import retrieve as P
+
+    got = column(spark, ["aktuell", "Radweg", "Haushalt"], lambda c: P.candidate_count(c))
+    assert got == [140, 140, 40] and column(spark, ["Haushalt"], lambda c: P.candidate_count(c, "breadth")) == [300]
+    assert P.candidates(P.Query("Radweg")) == 140
+
+
+def test_detectors(spark):
+    people = ["Was sagte Frau Dr. Meier zum Bau?", "Wer ist Anna Hohlrath?", "Wer war dabei von Volt", "was ist", "Herr Prof. Kurz", None]
+    assert column(spark, people, T.detect_person) == ["Meier", "Hohlrath", None, None, "Kurz", None]
+    assert column(spark, ["Was wollen die Grünen?", "Antrag der SPD", "nichts"], T.detect_faction) == ["grüne", "spd", None]
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.just(0))
+def test_late_requests_count_in_their_own_window(_):
+    """The state function by itself: a late request of the window before doesn't use up the current one."""
+    import pandas as pd
+
+    from minuteworks.streaming import ratelimit
+
+    seen = {}
+
+    class Frame:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, f, *_):
+            seen["f"] = f
+
+    class State:
+        hasTimedOut, exists, get, value = False, False, None, None
+
+        def update(self, v):
+            self.value = v
+
+        def setTimeoutDuration(self, _):
+            pass
+
+    ratelimit.decisions(Frame(), 3600, 2)
+    ts = pd.to_datetime(["2026-01-01 10:10", "2026-01-01 11:10", "2026-01-01 11:20"])
+    state = State()
+    first = pd.concat(seen["f"](("a",), iter([pd.DataFrame({"ts": ts})]), state))
+    assert first["n"].tolist() == [1, 1, 2] and state.value == (int(pd.Timestamp("2026-01-01 11:00").timestamp()), 2, 1)
+    again = State()
+    again.exists, again.get = True, state.value
+    late = pd.concat(seen["f"](("a",), iter([pd.DataFrame({"ts": pd.to_datetime(["2026-01-01 10:50"])})]), again))
+    assert late["n"].tolist() == [2] and late["allowed"].tolist() == [True]
