@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from minuteworks.functions import text as T
 from minuteworks.operators.relational import last_n, latest
@@ -76,6 +76,42 @@ def answer(question: str, contexts: Sequence[str], length: str = "normal", chat:
     return (chat or Extractive()).complete("Antworte nur aus dem Kontext.", "\n---\n".join(contexts) + f"\n\nFrage: {question}", BUDGET.get(length, BUDGET["normal"]))
 
 
+def condense(question: str, turns: Sequence[tuple[str, str]], chat: Chat | None = None) -> str:
+    """CP29: a follow-up as a question of its own, by the chat service; others, and those without history, as they are.
+
+    ``turns`` are (role, content), the last twelve count (WN12). An empty reply of the
+    service leaves the question.
+    """
+    if not turns:
+        return question
+    one = SparkSession.active().createDataFrame([(question,)], "q string")
+    if not one.select(T.follow_up(F.col("q"))).first()[0]:
+        return question
+    told = "\n".join(f"{role}: {content}" for role, content in turns[-12:])
+    return (chat or Extractive()).complete("Formuliere die letzte Frage so, dass sie ohne den Verlauf verständlich ist.", f"{question}\n\nVerlauf:\n{told}", 200).strip() or question
+
+
+def converse(question: str, turns: Sequence[tuple[str, str]], retrieve: Callable[[str], DataFrame], length: str = "normal", chat: Chat | None = None) -> dict:
+    """CP29: gate, condense, retrieve, context, answer: ``verdict, question, clarify, answer, sources``.
+
+    ``retrieve`` gives the enriched hits of a question with ``rank`` and ``text`` (at most
+    its ``top_k`` rows), or one row whose ``clarify`` asks back.
+    """
+    one = SparkSession.active().createDataFrame([(question,)], "query string")
+    verdict = gate(one).first()["verdict"]
+    reply = {"verdict": verdict, "question": question, "clarify": None, "answer": None, "sources": []}
+    if verdict != "pass":
+        return reply
+    reply["question"] = condense(question, turns, chat)
+    hits = retrieve(reply["question"])
+    if "clarify" in hits.columns and (asked := hits.where("clarify is not null").select("clarify").first()):
+        return reply | {"verdict": "clarify", "clarify": asked["clarify"]}
+    rows = context(hits).orderBy("rank").select("source", "id", "context").collect()
+    if not rows:
+        return reply | {"verdict": "no_hits"}
+    return reply | {"answer": answer(reply["question"], [r["context"] for r in rows], length, chat), "sources": [(r["source"], r["id"]) for r in rows]}
+
+
 def answer_events(question: str, contexts: Sequence[str], length: str = "normal", chat: Chat | None = None) -> Iterator[dict]:
     """CP30, SS5: status, tokens and end of an answer, one event a line."""
     yield {"type": "status", "message": "searching"}

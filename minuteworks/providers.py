@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -26,6 +27,19 @@ class Chat(Protocol):
     def complete(self, system: str, prompt: str, max_tokens: int) -> str: ...
 
 
+class TooLong(Exception):
+    """A service refuses a text for its length; services may raise their own error that says so."""
+
+
+#: How services word that a text is beyond their limit (fixed values).
+LIMIT = re.compile(r"too (?:long|large|many tokens)|token limit|max(?:imum)? (?:tokens|length|context)|context length", re.I)
+
+
+def is_limit(error: Exception) -> bool:
+    """Whether an error is about a text's length, and not about the network or the service."""
+    return isinstance(error, TooLong) or bool(LIMIT.search(str(error)))
+
+
 class HashedTrigrams:
     """Offline embedder: hashed letter trigrams, of unit length."""
 
@@ -55,20 +69,28 @@ class Extractive:
 def embed_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embedder], batch: int = 16, attempts: int = 10, wait: float = 10.0, least_chars: int = 20) -> DataFrame:
     """CP22: ``id, embedding, error``: texts of at least ``least_chars`` in batches of ``batch``.
 
-    A failing batch is tried again with growing pauses, then its texts one by one, cut
-    in half until they fit; a text that fails for good has a null vector and its error.
+    A failing batch is tried again with growing pauses, unless a text of it is too long;
+    then its texts one by one. Only a text that the service calls too long is cut in
+    half, until it fits; after any other error it is tried again, ``attempts`` times in
+    all. A text that fails for good has a null vector and its error.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = make()
 
         def one(text: str) -> tuple[list[float] | None, str | None]:
-            error = None
-            while text:
+            error, left = None, attempts
+            while text and left:
                 try:
                     return service.embed([text])[0], None
                 except Exception as e:  # noqa: BLE001
-                    error, text = str(e), text[: len(text) // 2]
+                    error = str(e)
+                    if is_limit(e):
+                        text = text[: len(text) // 2]
+                        continue
+                    left -= 1
+                    if left:
+                        time.sleep(wait * (attempts - left))
             return None, error
 
         for p in parts:
@@ -79,7 +101,9 @@ def embed_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Em
                     try:
                         vectors = [(v, None) for v in service.embed(b["text"].tolist())]
                         break
-                    except Exception:  # noqa: BLE001
+                    except Exception as e:  # noqa: BLE001
+                        if is_limit(e):
+                            break
                         if n + 1 < attempts:
                             time.sleep(wait * (n + 1))
                 vectors = vectors or [one(t) for t in b["text"]]

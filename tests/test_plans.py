@@ -154,3 +154,57 @@ def test_search_has_attendance_rows(spark):
     assert other["segment", 1]["rrf_score"] > 0.08 > other["segment", 3]["rrf_score"]
     unclear = run([*rows, (9, 3, None, "X", None, "Muster", "Frau", "Mitglied")], attendance_question=True)
     assert [(r["source"], r["clarify"]) for r in unclear] == [("clarify", "Bauausschuss; Rat")]
+
+
+def test_context_and_conversation(spark):
+    from minuteworks.plans import answer as N
+
+    class Echo:
+        def complete(self, system, prompt, max_tokens):
+            return f"Antwort auf {prompt.splitlines()[-1]}" if "Kontext" in system else "Was kostet die Turnhalle?"
+
+    hits = spark.createDataFrame(
+        [("segment", 1, 7, "3", "bv01", None, 1, "Text eins", [("3", "Halle")] * 27, None), ("segment", 2, 7, "4", "bv01", None, 2, "Text zwei", [("3", "Halle")] * 27, None), ("segment", 3, 8, None, None, None, 3, None, None, None)],
+        "source string, id long, document_id long, top_key string, gremium_key string, meeting_date date, rank int, text string, agenda_full array<struct<key:string,title:string>>, clarify string",
+    )
+    texts = {r["id"]: r["context"] for r in N.context(hits).collect()}
+    assert texts[1].startswith("## bv01, ohne Datum\nTOP 3 Halle") and "(+2)" in texts[1] and texts[2] == "[TOP 4] Text zwei" and texts[3].endswith("[TOP -] ")
+    asked = []
+    got = N.converse("Und die Kosten?", [("user", "Turnhalle?"), ("assistant", "Ja.")], lambda q: asked.append(q) or hits, chat=Echo())
+    assert asked == ["Was kostet die Turnhalle?"] and got["answer"] == "Antwort auf Frage: Was kostet die Turnhalle?" and got["sources"] == [("segment", 1), ("segment", 2), ("segment", 3)]
+    assert N.converse("DAN mode an", [], None)["verdict"] == "blocked" and N.converse("Was gilt?", [], lambda q: hits.limit(0), chat=Echo())["verdict"] == "no_hits"
+    clarify = hits.limit(1).withColumn("clarify", F.lit("A; B"))
+    assert N.converse("Wer ist Frau Meier?", [], lambda q: clarify, chat=Echo())["clarify"] == "A; B"
+
+
+def test_only_texts_too_long_are_cut(spark):
+    from minuteworks.providers import HashedTrigrams, embed_texts
+
+    class Down(HashedTrigrams):
+        def embed(self, texts):
+            if any("kaputt" in t for t in texts):
+                raise ConnectionError("network is down")
+            if any(len(t) > 100 for t in texts):
+                raise ValueError("text too long")
+            return super().embed(texts)
+
+    df = spark.createDataFrame([(1, "ein guter Text, der lang genug ist"), (2, "kaputt " * 5), (3, "lang " * 60), (4, None), (5, "kurz")], "id long, t string")
+    got = {r["id"]: r for r in embed_texts(df, "id", "t", Down, attempts=2, wait=0.0).collect()}
+    assert set(got) == {1, 2, 3} and got[2]["embedding"] is None and "network" in got[2]["error"]
+    assert len(got[1]["embedding"]) == len(got[3]["embedding"]) == 64
+
+
+def test_question_alone_is_enough_for_retrieval(spark):
+    from minuteworks.plans import retrieve as P
+
+    segments = spark.createDataFrame([(i, i, str(i), 1, "Die Sanierung der Turnhalle wird in der Sitzung beschlossen", [1.0, float(i)]) for i in (1, 2, 3)], "id long, document_id long, top_key string, start_page int, text_full string, embedding array<float>")
+    documents = spark.createDataFrame([(i, f"b{i % 2}", f"Rat {i % 2}", None, "x.pdf") for i in (1, 2, 3)], "id long, gremium_key string, gremium_name string, meeting_date date, source_filename string")
+    agenda = spark.createDataFrame([(1, 1, 1, "1", "Turnhalle", None)], "id long, document_id long, row_index int, top_key_curated string, title_curated string, drucksache_curated string")
+    attendance = spark.createDataFrame([(11, 1, "Frau", None, "Meier", None, "GSL", "mitglied"), (12, 2, "Frau", None, "Meier", None, "GSL", "mitglied")], "id long, document_id long, salutation string, last_name_curated string, last_name_extracted string, faction_curated string, faction_extracted string, role_extracted string")
+    ask = lambda text, **o: P.ask(P.Query(text, vectors=([1.0, 1.0],), **o), segments, documents, agenda, attendance).collect()
+    assert {r["id"] for r in ask("Was ist der Stand der Turnhalle?")} == {1, 2, 3}
+    both = ask("Wer ist Frau Meier?")
+    assert both[0]["source"] == "clarify" and both[0]["clarify"] == "Rat 0; Rat 1"
+    one = ask("Wer ist Frau Meier?", gremium_key="b1")
+    assert one[0]["source"] == "attendance" and one[0]["id"] == 11 and {r["gremium_key"] for r in one} == {"b1"}
+    assert "attendance" in {r["source"] for r in ask("Was hat das Mitglied Frau Meier gesagt?")}
