@@ -81,8 +81,13 @@ class Tagger:
         """Posterior of every word's language, by forward-backward over each sequence."""
         out: list[np.ndarray] = [np.empty((0, self.weights.shape[1]), np.float32)] * len(scores)
         order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: len(scores[i]))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        at = 0
+        while at < len(order):
+            # Sequences of like length side by side, as many as fit into a bounded block.
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(scores[order[end]]) <= 200_000:
+                end += 1
+            part, at = order[at:end], end
             lengths = np.array([len(scores[i]) for i in part])
             padded = np.zeros((len(part), lengths.max(), self.weights.shape[1]), np.float32)
             for row, i in enumerate(part):
@@ -98,14 +103,16 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     e = np.exp(scores - scores.max(2, keepdims=True))
     t = np.exp(transitions).astype(scores.dtype)
     alpha, beta = np.empty_like(e), np.ones_like(e)
+    ones = np.ones((k, 1), e.dtype)
     alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
     for i in range(1, steps):
-        a = (alpha[:, i - 1] @ t) * e[:, i]
-        alpha[:, i] = a / a.sum(1, keepdims=True)
+        a = alpha[:, i - 1] @ t
+        a *= e[:, i]
+        np.divide(a, a @ ones, out=alpha[:, i])
     for i in range(steps - 2, -1, -1):
+        # Sequences stand in the order of their length or not: those that have ended keep their ones.
         b = (beta[:, i + 1] * e[:, i + 1]) @ t.T
-        b /= b.sum(1, keepdims=True)
-        beta[:, i] = np.where((i + 1 < lengths)[:, None], b, 1.0)
+        np.divide(b, b @ ones, out=beta[:, i], where=(i + 1 < lengths)[:, None])
     m = alpha * beta
     m /= m.sum(2, keepdims=True)
     expected = np.zeros((k, k))
