@@ -102,6 +102,10 @@ def official(text: str, at: int) -> bool:
     return bool(m) and any(within_one_or_two(m.group(1).lower(), w) for w in OFFICIAL_WORDS)
 
 
+#: What every number begins with, in digits or in words.
+NUMERIC = re.compile(rf"\d|{_DIGIT}", re.I)
+
+
 def direct(text: str) -> list[tuple[int, int, str]]:
     """Spans of e-mail addresses, identity numbers, phone numbers and street addresses, in this order of claim."""
     spans: list[tuple[int, int, str]] = []
@@ -112,7 +116,7 @@ def direct(text: str) -> list[tuple[int, int, str]]:
 
     for m in EMAIL.finditer(text):
         claim(*m.span(), "email")
-    if any(c.isdigit() for c in text) or "null" in text.lower():
+    if NUMERIC.search(text):
         for pattern in (IBAN, SV, TAX, CARD):
             for m in pattern.finditer(text):
                 if not official(text, m.start()):
@@ -149,15 +153,18 @@ def occurrences(text: str, spans: list[tuple[int, int, str]], known: Known, give
             if m.re is INTRODUCED and second and second[0].isupper() and second not in known:
                 seeds.add(m.start(2))
     units: list[tuple[int, int, str]] = []
+    held = sorted(spans)
     for m in UNITS.finditer(text):
-        at = next((i for i, (a, b, _) in enumerate(spans) if a <= m.start() < b), None)
-        word = m.group().lower()
-        if at is not None:
-            mark = f"<{spans[at][2]}>"
+        start = m.start()
+        while held and held[0][1] <= start:
+            held.pop(0)
+        if held and held[0][0] <= start:
+            mark = f"<{held[0][2]}>"
             if not units or units[-1][2] != mark:
-                units.append((m.start(), m.end(), mark))
+                units.append((start, m.end(), mark))
             continue
-        units.append((m.start(), m.end(), "#" if word[0].isdigit() else "@" if word in given else word))
+        word = m.group().lower()
+        units.append((start, m.end(), "#" if word[0].isdigit() else "@" if word in given else word))
     out = []
     for i, (a, b, word) in enumerate(units):
         if len(word) < 3 or not word[0].isalpha() or word in known:
