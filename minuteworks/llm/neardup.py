@@ -104,9 +104,10 @@ class NearDuplicates:
 
     def groups(self) -> DataFrame:
         """``id, cls, group_id, n_links``: the connected group of every row, and its class's links to other classes."""
-        links = self.pairs.select("cls_a", "cls_b").unionByName(self.pairs.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b")))
+        pairs = cut(self.pairs.select("cls_a", "cls_b"))  # few, read several times
+        links = pairs.unionByName(pairs.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b")))
         degree = links.groupBy("cls_a").agg(F.count("*").cast("int").alias("n_links")).withColumnRenamed("cls_a", "cls")
-        parts = components(self.pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+        parts = components(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
         return (
             self.members.select("id", "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
             .select("id", "cls", F.coalesce("root", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
