@@ -105,3 +105,10 @@ def test_planted_votes_are_those_of_the_judge(tagger):
         for d, text in D.planted(q, a, pairs[1 - i][1], rng).items():
             wanted.update((d, k, D.pattern_of(v)) for k, v in enumerate(judge([q], [text], [None])[0][0]))
     assert got == wanted
+
+
+def test_places_inside_words():
+    import re
+
+    for text in (REPORT, FRENCH, "", "a", "ab  cd 1x x1\n½a a_b é b", "Şu iş 3. madde"):
+        assert D.inner_places(text).tolist() == [m.start() for m in re.finditer(r"(?<=[^\W\d_])(?=[^\W\d_]|\s[^\W\d_])", text)]
