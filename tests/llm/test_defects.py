@@ -112,3 +112,36 @@ def test_places_inside_words():
 
     for text in (REPORT, FRENCH, "", "a", "ab  cd 1x x1\n½a a_b é b", "Şu iş 3. madde"):
         assert D.inner_places(text).tolist() == [m.start() for m in re.finditer(r"(?<=[^\W\d_])(?=[^\W\d_]|\s[^\W\d_])", text)]
+
+
+ODD = (REPORT, FRENCH, "", "„Ja“ – l'été d’ici 3. Mai", "İstanbul'da ı ğ ş", "ß ẞ ſ K ĳ ² ½ ٣ a_b ab1c", "日本 Ж \ud800 é", "a\x85b\xa0c\x1cd​e", "’x' 'y’ z''w")
+
+
+def test_words_by_bytes_are_those_of_the_patterns():
+    for text in ODD:
+        for t in (text, text.lower()):
+            assert D.words_of(t) == L.WORD.findall(t)
+            assert D.runs(t, D._PLAIN_BYTES, D.LETTERS_AND_DIGITS) == D.LETTERS_AND_DIGITS.findall(t)
+            assert all(D.letters_beyond(t).count(c) == t.count(c) for cs in D.LETTERS.values() for c in cs)
+
+
+def test_likeness_is_bounded_by_common_subsequences():
+    for a, b in (("abcde", "abxde"), (Q, REPORT), ("", "a"), ("aab", "aba"), (Q, Q)):
+        blocks = D.difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert sum(x.size for x in blocks) <= D.common_length(a, b) <= min(len(a), len(b))
+    assert D.common_length("abcde", "xbxdxe") == 3 and D.common_length("ab", "ba") == 1
+
+
+def test_only_open_queries_are_put_to_the_tagger(tagger, monkeypatch):
+    """Common words or a request tell the language of most queries."""
+    judge, put = D.Judge(tagger, "de", L.LANGUAGES), []
+    marginals = judge.marginals
+    monkeypatch.setattr(judge, "marginals", lambda words: put.append(len(words)) or marginals(words))
+    queries = [Q, "Turnhalle Gesamtkosten", "What was the answer to that?", "Turnhalle, please answer in French", ""]
+    wants = judge(queries, [REPORT] * 5, [None] * 5)[2]
+    assert put == [6] and wants[0] == wants[4] == "de" and wants[2:4] == ["en", "fr"]
+
+
+def test_last_sentences_that_break_off():
+    cases = {"Erst. Bis am 3.": True, "Es gilt bis zum 19": False, "Die Frist läuft bis zum 19.": True, "Siehe Abs.": True, "Nabs.": False, "(Offen. Zu.": False, "Zu. (Offen": True, "Satz. \n „Offen": True, "Zeile (\nzu": False, "am 3.\nEnde": False}
+    assert {t: D.cut_short(t) for t in cases} == cases
