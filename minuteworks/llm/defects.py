@@ -53,6 +53,11 @@ COURTESIES = (
 )
 #: What only reports from minutes have.
 REPORT = re.compile(r"\d{1,2}\.\d{1,2}\.\d{4}|\(Quelle|Quelle:|\[\d+\]|TOP \d|\d[\d.]* (?:Euro|euros?|avro)|Ja-Stimmen|Gegenstimmen|Niederschrift|Protokoll|votes|voix|stemmen|oyla|(?:Die|Der|Das|Den) (?:Verwaltung|Fraktion|Ausschuss|Vorsitz|Gremium|Antrag|Rechtsamt|Seniorenbeirat|Jugendrat|Sachverständige)")
+#: Some of these is in every such text; a date has two points.
+REPORT_PARTS = (
+    "Quelle", "[", "TOP ", "Euro", "euro", "avro", "Ja-Stimmen", "Gegenstimmen", "Niederschrift", "Protokoll", "votes", "voix", "stemmen", "oyla", " Verwaltung", " Fraktion", " Ausschuss", " Vorsitz", " Gremium", " Antrag", " Rechtsamt",
+    " Seniorenbeirat", " Jugendrat", " Sachverständige",
+)
 #: Names of the languages in requests for one (fixed values).
 ASKED = (
     ("en", r"engl[a-z]*|english|anglais|engels|ingilizce"), ("fr", r"franz[a-zö]*|french|français|frans(?![a-zö]*kf)[a-z]*|fransızca"), ("nl", r"niederländ[a-z]*|niederlaend[a-z]*|holländ[a-z]*|dutch|néerlandais|nederlands|hollandaca|felemenkçe"),
@@ -100,6 +105,8 @@ _PAGE = [bytes([i]).decode(CODE_PAGE, "replace") for i in range(256)]
 #: Its letters and apostrophes, and its letters and digits; blanks for all others.
 _WORD_BYTES, _PLAIN_BYTES = (bytes(i if re.fullmatch(kept, c) else 32 for i, c in enumerate(_PAGE)) for kept in (r"[^\W\d_]|['’]", r"[^\W_]"))
 
+#: Its letters are 1, its blanks 2.
+_KIND_BYTES = bytes(1 if c.isalnum() and not c.isdecimal() else 2 if c.isspace() else 0 for c in _PAGE)
 _NOT_IN_LETTERS = bytes(i for i, c in enumerate(_PAGE) if c not in "".join(LETTERS.values()))
 
 
@@ -247,7 +254,7 @@ def refusal_votes(said: str, words: list[str], lang: str | None) -> list[int]:
     first = not _FIRST.get(lang or "de", _FIRST["de"]).isdisjoint(words) or lang == "tr" and any(w.endswith(("amıyorum", "emiyorum", "mıyorum", "miyorum")) for w in words)
     return [
         1 if first else -1, 1 if any(map(low.__contains__, DECLINE_WORDS)) or any(x in low and p.search(low) for x, p in DECLINE) else -1, 1 if any(map(low.__contains__, COURTESIES)) else 0,
-        1 if len(own) < 160 and not REPORT.search(own) else 0 if len(own) < 260 else -1,
+        1 if len(own) < 160 and not ((own.count(".") > 1 or any(map(own.__contains__, REPORT_PARTS))) and REPORT.search(own)) else 0 if len(own) < 260 else -1,
     ]
 
 
@@ -436,6 +443,14 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
 
 def inner_places(text: str) -> np.ndarray:
     """Where a word goes on, or ends before another one."""
+    try:
+        kind = np.frombuffer(text.encode(CODE_PAGE).translate(_KIND_BYTES), np.uint8)
+        letter = kind == 1
+        after = kind[1:] == 1
+        after[:-1] |= (kind[1:-1] == 2) & letter[2:]
+        return np.flatnonzero(letter[:-1] & after) + 1
+    except UnicodeEncodeError:
+        pass
     at = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
     letter, space = (kind[at] for kind in _kinds())
     after = letter.copy()

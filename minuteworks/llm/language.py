@@ -141,13 +141,18 @@ def train(texts: Iterable[tuple[str, str]], languages: tuple[str, ...] = LANGUAG
     return tagger
 
 
+def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows at each of ``n`` places, added up one by one."""
+    return np.stack([np.bincount(at, column, n) for column in rows.T], axis=1)
+
+
 def _fit(data: list[tuple[int, list[str]]], k: int, epochs: int, seed: int) -> Tagger:
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     rows = [(lang, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws])) for lang, ws in data]
     lists = [features(w) for w in vocabulary]
-    flat, owner = np.fromiter((f for x in lists for f in x), np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    begin = np.cumsum([0, *(len(x) for x in lists)])[:-1]
+    flat, counts = np.fromiter((f for x in lists for f in x), np.int64), np.array([len(x) for x in lists], np.int64)
+    begin = np.cumsum(counts) - counts
     share = np.bincount([lang for lang, _ in rows], minlength=k).astype(float)
     weights, transitions = np.zeros((BUCKETS, k)), np.zeros((k, k))
     square_w, square_t = np.full((BUCKETS, k), 1e-3), np.full((k, k), 1e-3)
@@ -169,10 +174,9 @@ def _fit(data: list[tuple[int, list[str]]], k: int, epochs: int, seed: int) -> T
             gold = [np.concatenate([np.full(len(rows[i][1]), rows[i][0]) for i in g]) for g in part]
             lengths = np.array([len(s) for s in seqs])
             ids = np.unique(np.concatenate(seqs))
-            sel = np.concatenate([np.arange(begin[i], begin[i] + len(lists[i])) for i in ids])
-            local = np.searchsorted(ids, owner[sel])
-            emission = np.zeros((len(ids), k))
-            np.add.at(emission, local, weights[flat[sel]])
+            local = np.repeat(np.arange(len(ids)), counts[ids])
+            sel = np.arange(len(local)) + (begin[ids] - np.cumsum(counts[ids]) + counts[ids])[local]
+            emission = sums(local, weights[flat[sel]], len(ids))
             scores, truth, mask = np.zeros((len(seqs), lengths.max(), k)), np.zeros((len(seqs), lengths.max()), np.int64), np.zeros((len(seqs), lengths.max()), bool)
             places = np.zeros((len(seqs), lengths.max()), np.int64)
             for r, (s, g) in enumerate(zip(seqs, gold, strict=True)):
@@ -181,12 +185,9 @@ def _fit(data: list[tuple[int, list[str]]], k: int, epochs: int, seed: int) -> T
             m, expected = forward_backward(scores, lengths, transitions, pairs=True)
             grad = -m[mask]
             grad[np.arange(len(grad)), truth[mask]] += 1
-            by_type = np.zeros((len(ids), k))
-            np.add.at(by_type, places[mask], grad)
-            delta = np.zeros((BUCKETS, k))
-            np.add.at(delta, flat[sel], by_type[local])
-            touched = np.unique(flat[sel])
-            d = delta[touched] - 1e-2 * weights[touched]
+            by_type = sums(places[mask], grad, len(ids))
+            touched, bucket = np.unique(flat[sel], return_inverse=True)
+            d = sums(bucket, by_type[local], len(touched)) - 1e-2 * weights[touched]
             square_w[touched] += d * d
             weights[touched] += 0.15 * d / np.sqrt(square_w[touched])
             observed = np.zeros((k, k))

@@ -51,3 +51,14 @@ def test_held_out_accuracy(spark, sf):
     tagger = L.train_on(fit, rows_per_language=60)
     got = L.detect(rest, tagger).where("kind <> 'mixed'").selectExpr("avg(cast(label_lang = lang as double)) as a").first()["a"]
     assert got > 0.9  # some labels are wrong
+
+
+def test_sums_are_added_in_order():
+    """To the bit what adding row by row gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    at, rows = rng.integers(7, size=900), rng.normal(size=(900, 5)) * 10.0 ** rng.integers(-9, 9, (900, 5))
+    wanted = np.zeros((8, 5))
+    np.add.at(wanted, at, rows)
+    assert (L.sums(at, rows, 8) == wanted).all()
