@@ -55,8 +55,6 @@ def test_held_out_accuracy(spark, sf):
 
 def test_sums_are_added_in_order():
     """To the bit what adding row by row gives."""
-    import numpy as np
-
     rng = np.random.default_rng(2)
     at, rows = rng.integers(7, size=900), rng.normal(size=(900, 5)) * 10.0 ** rng.integers(-9, 9, (900, 5))
     wanted = np.zeros((8, 5))
